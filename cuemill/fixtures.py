@@ -37,9 +37,10 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = docs.select(
         F.col("doc_id").alias("media_id"),
         F.col("lang").alias("language"),
-        F.posexplode(F.filter(squeezed, lambda x: x != "")).alias("seg_idx", "line"),
-    )
-    rows = lines.select("media_id", "language", "seg_idx", F.posexplode(F.split("line", " ")).alias("word_idx", "w"))
+        # outer: else the array is computed again to test it for emptiness
+        F.posexplode_outer(F.filter(squeezed, lambda x: x != "")).alias("seg_idx", "line"),
+    ).filter("seg_idx is not null")
+    rows = lines.select("media_id", "language", "seg_idx", F.posexplode_outer(F.split("line", " ")).alias("word_idx", "w"))
     filler = F.col("word_idx") % 23 == 11
     loop = ((F.col("media_id") + F.col("seg_idx")) % 7 == 0) & F.col("word_idx").between(4, 9)
     word = F.when(filler, "um").when(loop, "yes").otherwise(F.col("w"))

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuemill.functions.arrays import indexes
-
 # Partition of a key that holds the rows next to block borders.
 _BORDER = -1
 
@@ -145,13 +145,15 @@ def chain(
     block: Column,
     payload: Sequence[str],
     reach: int,
-    jump: Callable[[Callable[[int], Column]], Column],
+    looks_at: Sequence[str],
+    jump: Callable[[Callable[[int], dict[str, np.ndarray]]], np.ndarray],
 ) -> DataFrame:
     """Cut each key's rows greedily into links of 1 .. reach rows.
 
-    A link starts at a key's first row; ``jump(at)`` is the length of a link that
-    starts at row ``at(0)``, from the rows ``at(k)`` after it (null past the end).
-    Returns keys, link_idx (0-based), rows (array) and the row after the link.
+    A link starts at a key's first row; ``jump(at)`` is the length of a link for
+    every row at once: ``at(k)`` holds the integer columns ``looks_at`` of the row
+    k places on, and "there", false past the end. Returns keys, link_idx
+    (0-based), rows (array of structs) and the row after the link.
 
     Where a link may start in a block depends on the block before. Each block is
     therefore reduced to a table of ``reach`` entries, "entered at offset e it is
@@ -161,81 +163,125 @@ def chain(
     item = F.struct(*order, *[c for c in payload if c not in order])
     blocks = (
         df.withColumn("_cell", block)
+        # named here so that every use below reads one and the same exchange
+        .repartition(*keys, "_cell")
         .groupBy(*keys, "_cell")
         .agg(F.sort_array(F.collect_list(item)).alias("_rows"))
     )
     heads = blocks.select(*keys, "_cell", F.slice("_rows", 1, reach).alias("_head"))
-    blocks = blocks.join(_following(heads, keys, reach), [*keys, "_cell"])
-
-    both = F.concat("_rows", "_next")
-
-    def length_at(rows: Column, i: Column) -> Column:
-        return jump(lambda k: F.get(rows, i + k)).cast("int")
-
-    state = "array<struct<exit:int,links:long>>"
-    unmoved = F.transform(F.sequence(F.lit(0), F.lit(reach - 1)), lambda e: F.struct(e, F.lit(0).cast("long")))
-
-    def enter(states, i):
-        to = F.get(states, length_at(both, i) - 1)
-        new = F.array(F.struct(to["exit"].alias("exit"), (to["links"] + 1).alias("links")))
-        return F.concat(new, F.slice(states, 1, reach - 1))
-
-    steps = F.aggregate(F.reverse(indexes(F.size("_rows"))), unmoved.cast(state), enter)
-    # the last block of a key hands nothing on
-    steps = F.when(F.size("_next") > 0, steps).otherwise(unmoved.cast(state))
-    entries = _entries(blocks.select(*keys, "_cell", steps.alias("_steps")), keys, reach, state)
-
-    start = F.struct(
-        F.col("_entry").alias("next"), F.array().cast("array<int>").alias("at"), F.array().cast("array<int>").alias("n")
+    blocks = blocks.join(_following(heads, keys, reach), [*keys, "_cell"]).select(
+        *keys, "_cell", "_to", F.size("_rows").alias("_own"), F.concat("_rows", "_next").alias("_both")
     )
-
-    def walk(acc, i):
-        n = length_at(both, i)
-        hit = F.struct(
-            (i + n).alias("next"), F.concat(acc["at"], F.array(i)).alias("at"), F.concat(acc["n"], F.array(n)).alias("n")
-        )
-        return F.when(acc["next"] == i, hit).otherwise(acc)
-
-    cuts = F.aggregate(indexes(F.size("_rows")), start, walk)
+    fields = [F.col("_both")[c] for c in looks_at]
+    # the last block of a key hands nothing on, and most keys have one block only
+    steps = _block_passes(tuple(looks_at), jump, reach)(F.col("_own"), *fields)
+    steps = blocks.filter("_to is not null").select(*keys, "_cell", "_to", steps.alias("_steps"))
+    entries = _entries(steps, keys, reach)
+    blocks = (
+        blocks.join(entries, [*keys, "_cell"], "left")
+        .withColumn("_entry", F.coalesce("_entry", F.lit(0)))
+        .withColumn("_before", F.coalesce("_before", F.lit(0).cast("long")))
+    )
+    cuts = _block_cuts(tuple(looks_at), jump)(F.col("_own"), F.col("_entry"), *fields)
     links = F.transform(
-        F.arrays_zip(F.col("_cuts.at").alias("at"), F.col("_cuts.n").alias("n")),
+        F.col("_cuts"),
         lambda c, k: F.struct(
             (F.col("_before") + k).alias("link_idx"),
-            F.slice(both, c["at"] + 1, c["n"]).alias("rows"),
-            F.get(both, c["at"] + c["n"]).alias("after"),
+            F.slice("_both", c["at"] + 1, c["n"]).alias("rows"),
+            F.get("_both", c["at"] + c["n"]).alias("after"),
         ),
     )
-    return (
-        blocks.join(entries, [*keys, "_cell"])
-        .withColumn("_cuts", cuts)
-        .select(*keys, F.inline(links))
-    )
+    # the outer form: else Spark runs the array expression again to test it for emptiness
+    links = blocks.withColumn("_cuts", cuts).select(*keys, F.inline_outer(links))
+    return links.filter(F.col("link_idx").isNotNull())
+
+
+def _lengths(names, jump, columns):
+    """Offsets of the lists in a batch and the link length at each of their rows."""
+    offsets = columns[0].offsets.to_numpy()
+    values = {n: c.values.to_numpy(zero_copy_only=False) for n, c in zip(names, columns)}
+    total = len(columns[0].values)
+    ends = np.repeat(offsets[1:], np.diff(offsets))
+    place = np.arange(offsets[0], offsets[-1])
+
+    def at(k):
+        index = place + k
+        there = index < ends
+        index = np.minimum(index, max(total - 1, 0))
+        return {"there": there, **{n: v[index] for n, v in values.items()}}
+
+    lengths = np.zeros(total, dtype=np.int64)
+    lengths[offsets[0] : offsets[-1]] = jump(at)
+    return offsets, lengths.tolist()
+
+
+def _block_passes(names, jump, reach):
+    """Per block: (exit, links) for each entry offset."""
+
+    @F.arrow_udf("array<struct<exit:int,links:bigint>>")
+    def passes(own: pa.Array, *columns: pa.Array) -> pa.Array:
+        out = []
+        offsets, lengths = _lengths(names, jump, columns)
+        for base, n in zip(offsets.tolist(), own.to_pylist()):
+            states = [(e, 0) for e in range(reach)]
+            for i in range(n - 1, -1, -1):
+                leaves, links = states[lengths[base + i] - 1]
+                states = [(leaves, links + 1), *states[: reach - 1]]
+            out.append([{"exit": e, "links": k} for e, k in states])
+        return pa.array(out, pa.list_(pa.struct([("exit", pa.int32()), ("links", pa.int64())])))
+
+    return passes
+
+
+def _block_cuts(names, jump):
+    """Per block: first row and length of every link, from the block's entry on."""
+
+    @F.arrow_udf("array<struct<at:int,n:int>>")
+    def cuts(own: pa.Array, entry: pa.Array, *columns: pa.Array) -> pa.Array:
+        offsets, lengths = _lengths(names, jump, columns)
+        places, sizes, ends = [], [], [0]
+        for base, n, i in zip(offsets.tolist(), own.to_pylist(), entry.to_pylist()):
+            while i < n:
+                step = lengths[base + i]
+                places.append(i)
+                sizes.append(step)
+                i += step
+            ends.append(len(places))
+        items = pa.StructArray.from_arrays([pa.array(places, pa.int32()), pa.array(sizes, pa.int32())], ["at", "n"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+
+    return cuts
 
 
 def _following(heads: DataFrame, keys: Sequence[str], reach: int) -> DataFrame:
-    """The first ``reach`` rows after each cell; a short cell makes it look further than one."""
+    """The first ``reach`` rows after each cell, and the next cell.
+
+    A cell may hold fewer rows than that, so up to ``reach`` cells are looked at.
+    """
     inside = Window.partitionBy(*keys, "_block").orderBy("_cell").rowsBetween(1, reach)
     across = Window.partitionBy(*keys, "_part").orderBy("_cell").rowsBetween(1, reach)
     near = F.size("_near") == reach
     rank = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy("_cell"))
+    cell = F.struct("_cell", "_head")
+    found = F.when(near, F.col("_near")).otherwise(F.col("_far"))
     return (
         heads.withColumn("_block", block_of("_cell", 1024))
-        .withColumn("_near", F.collect_list("_head").over(inside))
+        .withColumn("_near", F.collect_list(cell).over(inside))
         .withColumn("_part", F.when(near & (rank > reach), F.col("_block")).otherwise(F.lit(_BORDER)))
-        .withColumn("_far", F.collect_list("_head").over(across))
+        .withColumn("_far", F.collect_list(cell).over(across))
         .select(
             *keys,
             "_cell",
-            F.slice(F.flatten(F.when(near, F.col("_near")).otherwise(F.col("_far"))), 1, reach).alias("_next"),
+            F.get(found, F.lit(0))["_cell"].alias("_to"),
+            F.slice(F.flatten(found["_head"]), 1, reach).alias("_next"),
         )
     )
 
 
-def _entries(steps: DataFrame, keys: Sequence[str], reach: int, state: str, span: int = 1024) -> DataFrame:
-    """Entry offset and number of earlier links for each block, composed in two levels."""
-    unmoved = F.transform(
-        F.sequence(F.lit(0), F.lit(reach - 1)), lambda e: F.struct(e, F.lit(0).cast("long"))
-    ).cast(state)
+def _entries(steps: DataFrame, keys: Sequence[str], reach: int, span: int = 1024) -> DataFrame:
+    """Entry offset and earlier links of every block but a key's first, composed in two levels."""
+    unmoved = F.transform(F.sequence(F.lit(0), F.lit(reach - 1)), lambda e: F.struct(e, F.lit(0).cast("long")))
+    unmoved = unmoved.cast("array<struct<exit:int,links:bigint>>")
 
     def then(states, s):
         return F.transform(
@@ -246,18 +292,18 @@ def _entries(steps: DataFrame, keys: Sequence[str], reach: int, state: str, span
             ),
         )
 
-    def follow(items, at, name):
-        """Fold from a known entry, noting the entry of every item."""
+    def follow(items, at, name, after):
+        """Fold from a known entry, noting the entry before (or after) every item."""
         start = F.struct(at["exit"].alias("exit"), at["links"].alias("links"), F.array().cast(
             f"array<struct<{name}:bigint,exit:int,links:bigint>>").alias("seen"))
 
         def step(acc, s):
             to = F.get(s["_steps"], acc["exit"])
-            here = F.struct(s[name].alias(name), acc["exit"].alias("exit"), acc["links"].alias("links"))
+            exit, links = to["exit"], acc["links"] + to["links"]
+            noted = (exit, links) if after else (acc["exit"], acc["links"])
+            here = F.struct(s[name].alias(name), noted[0].alias("exit"), noted[1].alias("links"))
             return F.struct(
-                to["exit"].alias("exit"),
-                (acc["links"] + to["links"]).alias("links"),
-                F.concat(acc["seen"], F.array(here)).alias("seen"),
+                exit.alias("exit"), links.alias("links"), F.concat(acc["seen"], F.array(here)).alias("seen")
             )
 
         return F.aggregate(items, start, step)["seen"]
@@ -265,7 +311,7 @@ def _entries(steps: DataFrame, keys: Sequence[str], reach: int, state: str, span
     spans = (
         steps.withColumn("_span", block_of("_cell", span))
         .groupBy(*keys, "_span")
-        .agg(F.sort_array(F.collect_list(F.struct("_cell", "_steps"))).alias("_items"))
+        .agg(F.sort_array(F.collect_list(F.struct("_cell", "_to", "_steps"))).alias("_items"))
     )
     tops = (
         spans.select(*keys, "_span", F.aggregate("_items", unmoved, then).alias("_steps"))
@@ -273,10 +319,10 @@ def _entries(steps: DataFrame, keys: Sequence[str], reach: int, state: str, span
         .agg(F.sort_array(F.collect_list(F.struct("_span", "_steps"))).alias("_items"))
     )
     origin = {"exit": F.lit(0), "links": F.lit(0).cast("long")}
-    tops = tops.select(*keys, F.inline(follow(F.col("_items"), origin, "_span")))
+    tops = tops.select(*keys, F.inline_outer(follow(F.col("_items"), origin, "_span", after=False)))
     spans = spans.join(tops, [*keys, "_span"])
     at = {"exit": F.col("exit"), "links": F.col("links")}
-    seen = spans.select(*keys, F.explode(follow(F.col("_items"), at, "_cell")).alias("s"))
+    seen = spans.select(*keys, F.explode_outer(follow(F.col("_items"), at, "_to", after=True)).alias("s"))
     return seen.select(
-        *keys, F.col("s._cell").alias("_cell"), F.col("s.exit").alias("_entry"), F.col("s.links").alias("_before")
+        *keys, F.col("s._to").alias("_cell"), F.col("s.exit").alias("_entry"), F.col("s.links").alias("_before")
     )
