@@ -30,6 +30,8 @@ def load() -> None:
         region_queries,
         run_queries,
         segment_queries,
+        source_queries,
+        stream_queries,
         text_queries,
         timeline_queries,
         translation_queries,

@@ -236,43 +236,48 @@ def noise_cues(spark, sf):
     )
 
 
-_FLAGGED = f"""
-  {_NOISE},
-  tok as (
+
+def flagged(source, tag=""):
+    """CTEs that name the rule each row of source breaks: flagged<tag>."""
+    return f"""
+  tok{tag} as (
     select media_id, cue_idx, w, trim(lower(w), '.,!?;:¡¿…-') as key, trim(lower(w), '.,!?;:¡¿…') as core
-    from (select media_id, cue_idx, unnest(string_split_regex(trim(text), ' +')) as w from noise) where w <> ''
-  ), by_key as (
-    select media_id, cue_idx, key, count(*) as c from tok where key <> '' group by 1, 2, 3
-  ), keys as (
+    from (select media_id, cue_idx, unnest(string_split_regex(trim(text), '\\s+')) as w from {source}) where w <> ''
+  ), by_key{tag} as (
+    select media_id, cue_idx, key, count(*) as c from tok{tag} where key <> '' group by 1, 2, 3
+  ), keys{tag} as (
     select media_id, cue_idx, cast(sum(c) as bigint) as n, count(*) as distinct_n,
            list_sum(list(c order by c desc)[1:2]) as top2
-    from by_key group by 1, 2
-  ), loops as (
+    from by_key{tag} group by 1, 2
+  ), loops{tag} as (
     select media_id, cue_idx, sum(length(w)) as total,
            sum(case when length(core) >= 12 and (select bool_or((length(core) - t) % u = 0 and (length(core) - t) // u >= 4
                               and left(core, length(core) - t) = repeat(left(core, u), (length(core) - t) // u))
                          from (values (1), (2), (3)) a(u), (values (0), (1), (2), (3)) b(t))
                     then length(w) else 0 end) as looped
-    from tok group by 1, 2
-  ), chars as (
+    from tok{tag} group by 1, 2
+  ), chars{tag} as (
     select media_id, cue_idx, max(c) as top_char, sum(c) as n_char
     from (select media_id, cue_idx, ch, count(*) as c
-          from (select media_id, cue_idx, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]')) as ch from noise)
+          from (select media_id, cue_idx, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]')) as ch from {source})
           group by 1, 2, 3)
     group by 1, 2
-  ), flagged as (
+  ), flagged{tag} as (
     select z.media_id, z.cue_idx, z.start_ms, z.end_ms, z.text, coalesce(k.n, 0) as n_keys,
            case when n >= 8 and distinct_n <= 2 then 'repetition wall'
                 when n >= 12 and top2 * 10 >= n * 9 then 'two words'
                 when looped * 2 >= total then 'character loop'
                 when n_char >= 15 and top_char * 5 >= n_char * 3 then 'one character'
                 when length(z.text) * 20 > z.end_ms - z.start_ms and n >= 8 then 'density' end as rule
-    from noise z left join keys k using (media_id, cue_idx) left join loops using (media_id, cue_idx)
-         left join chars using (media_id, cue_idx)
+    from {source} z left join keys{tag} k using (media_id, cue_idx) left join loops{tag} using (media_id, cue_idx)
+         left join chars{tag} using (media_id, cue_idx)
   )
 """
 
 
+_FLAGGED = f"{_NOISE}, {flagged('noise')}"
+
+
 @query(f"with {_FLAGGED} select media_id, cast(cue_idx as integer) as cue_idx, start_ms, end_ms, text, rule from flagged")
 def flagged_cues(spark, sf):
     return ops.flag_degenerate(noise_cues(spark, sf))

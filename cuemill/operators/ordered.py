@@ -326,3 +326,13 @@ def _entries(steps: DataFrame, keys: Sequence[str], reach: int, span: int = 1024
     return seen.select(
         *keys, F.col("s._to").alias("_cell"), F.col("s.exit").alias("_entry"), F.col("s.links").alias("_before")
     )
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, name: str) -> DataFrame:
+    """Add a 0-based position within each key: rows of earlier blocks plus the rank inside the own block."""
+    rows = df.withColumn("_block", block)
+    sizes = rows.groupBy(*keys, "_block").count()
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(*keys, "_block", F.coalesce(F.sum("count").over(earlier), F.lit(0).cast("long")).alias("_base"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order))
+    return rows.join(bases, [*keys, "_block"]).withColumn(name, F.col("_base") + rank - 1).select(*df.columns, name)
