@@ -16,7 +16,7 @@ TABLES["doc_lines"] = r"""
 """
 TABLES["seg_lines"] = """
   select media_id, language, line,
-         row_number() over (partition by media_id order by i) - 1 as seg_idx
+         cast(row_number() over (partition by media_id order by i) - 1 as integer) as seg_idx
   from doc_lines where line <> ''
 """
 TABLES["raw_words"] = """
@@ -55,7 +55,7 @@ TABLES["chunks"] = """
          i > 0 and (i * d) // n > 2500 as has_start_overlap,
          i < n - 1 and ((i + 1) * d) // n + 2500 < d as has_end_overlap,
          case when (i > 0 and (i * d) // n > 2500) or (i < n - 1 and ((i + 1) * d) // n + 2500 < d)
-              then 2500 else 0 end as overlap_ms
+              then 2500::bigint else 0 end as overlap_ms
   from (select media_id, duration_ms as d, n, unnest(range(n)) as i
         from (select *, (duration_ms + 59999) // 60000 as n from media where duration_ms > 60000))
 """

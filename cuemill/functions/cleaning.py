@@ -170,7 +170,7 @@ def break_sentences(text: Column) -> Column:
     either = any_of(lexicon.CONTRAST_WORDS + lexicon.PRONOUNS)
     more = r"(?: [^ ]+)"
     pattern = (
-        rf"(?iu)([^ ]+{more}{{8,14}}?(?= {contrast}(?![^ ]))"
+        rf"(?iu)(?<![^ ])([^ ]+{more}{{8,14}}?(?= {contrast}(?![^ ]))"
         rf"|[^ ]+{more}{{15,24}}?(?= {either}(?![^ ]))"
         rf"|[^ ]+{more}{{25}})"
     )
@@ -228,7 +228,8 @@ def paragraphs(text: Column) -> Column:
     one = f"[^{MARK}]*"
     more = f"(?:{MARK}{one})"
     pattern = (
-        f"({one}{more}{{2,3}}?(?={MARK}{any_of(lexicon.TRANSITIONS)})|{one}{more}{{4}}(?={MARK})){MARK}"
+        # only tried where a sentence starts, or a long tail would be scanned from every character
+        f"(?<![^{MARK}])({one}{more}{{2,3}}?(?={MARK}{any_of(lexicon.TRANSITIONS)})|{one}{more}{{4}}(?={MARK})){MARK}"
     )
     joined = F.array_join(sentences(text), MARK)
     cut = F.split(F.regexp_replace(joined, pattern, "$1" + MARK + MARK), MARK * 2)
