@@ -155,13 +155,17 @@ def fillers_in(text: Column) -> Column:
 
 
 def drop_doubled_words(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?iu)(?<!{LETTER})({LETTER}+){SPACE}+\1(?!{LETTER})", "$1")
+    return F.regexp_replace(text, rf"(?iu)(?<!{LETTER})({LETTER}++){SPACE}+\1(?!{LETTER})", "$1")
 
 
 def expand_contractions(text: Column) -> Column:
-    for spoken, written in lexicon.CONTRACTIONS.items():
-        text = F.regexp_replace(text, "(?iu)" + whole_word(spoken), written)
-    return text
+    def expand(t):
+        out = t
+        for spoken, written in lexicon.CONTRACTIONS.items():
+            out = F.regexp_replace(out, "(?iu)" + whole_word(spoken), written)
+        return F.when(t.rlike("(?iu)" + any_of(list(lexicon.CONTRACTIONS))), out).otherwise(t)
+
+    return let(text, expand)
 
 
 def break_sentences(text: Column) -> Column:
@@ -207,11 +211,9 @@ def lexicon_case(word: Column) -> Column:
     marked = last.isin(*EDGE)
     core = F.when(marked, F.left(word, F.length(word) - 1)).otherwise(word)
     mark = F.when(marked, last).otherwise("")
-    return (
-        F.when(key.isin(*lexicon.PROPER_NOUNS), F.concat(capital(F.lower(core)), mark))
-        .when(key.isin(*lexicon.ABBREVIATIONS), F.concat(F.upper(core), mark))
-        .otherwise(word)
-    )
+    noun = F.concat(capital(F.lower(core)), mark)
+    listed = F.when(key.isin(*lexicon.PROPER_NOUNS), noun).otherwise(F.concat(F.upper(core), mark))
+    return F.when(key.isin(*lexicon.PROPER_NOUNS, *lexicon.ABBREVIATIONS), listed).otherwise(word)
 
 
 def fix_case(text: Column) -> Column:

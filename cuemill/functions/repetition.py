@@ -25,18 +25,20 @@ def run_key(word: Column) -> Column:
 def _run_pattern(word_limit: int, phrase_limit: int, longest: int) -> tuple[str, str]:
     """Pattern and replacement over "key MARK word " tokens, longest phrase first.
 
-    Group 1 of each alternative holds the copies to keep; the possessive tail
-    takes all further copies without recursion, however long the run.
+    The outer group of each alternative holds the copies to keep; the possessive
+    tail takes all further copies without recursion, however long the run.
     """
     key, word = f"([^{MARK} ]+)", f"{MARK}[^ ]* "
-    alternatives, kept, group = [], [], 1
+    # a run can only start where the key comes back within the longest phrase
+    returns = f"(?={key}{word}(?:[^ ]* ){{0,{longest - 1}}}?\\1{MARK})"
+    alternatives, kept, group = [], [], 2
     for size in range(longest, 0, -1):
         # a run of one word is no phrase run
         uniform = ""
         keep = group
         group += 1
         if size > 1:
-            uniform = f"(?!{key}{word}(?:\\{group + 0}{word}){{{size - 1}}})"
+            uniform = f"(?!{key}{word}(?:\\{group}{word}){{{size - 1}}})"
             group += 1
         first = range(group, group + size)
         group += size
@@ -47,7 +49,7 @@ def _run_pattern(word_limit: int, phrase_limit: int, longest: int) -> tuple[str,
         # the look-ahead's group is numbered inside the kept group
         alternatives.append(f"({uniform}{body}{copies})(?:{again})++")
         kept.append(f"${keep}")
-    return f"(?<![^ ])(?:{'|'.join(alternatives)})", "".join(kept)
+    return f"(?<![^ ]){returns}(?:{'|'.join(alternatives)})", "".join(kept)
 
 
 def collapse_repetitions(text: Column, word_limit: int = 3, phrase_limit: int = 2) -> Column:

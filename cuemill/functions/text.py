@@ -7,9 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cuemill.functions.arrays import let
+
 # The characters Unicode text is split on, and a letter, digit or underscore.
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-LETTER = r"[\p{L}\p{N}_]"
+SPACE = (
+    # the rare ones behind one range test, since most characters are none of them
+    r"[\t-\r\x1c-\x20\x85\xa0"
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
+)
+LETTER = r"[0-9A-Za-z_\p{L}\p{N}]"
 
 # Never part of a token, since text is split on it.
 MARK = "\x1f"
@@ -21,14 +27,17 @@ def squeeze(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(squeeze(text), " "), lambda w: w != "")
+    none = F.array().cast("array<string>")
+    return let(squeeze(text), lambda t: F.when(t == "", none).otherwise(F.split(t, " ")))
 
 
 def token_count(text: Column) -> Column:
     """Number of words without building them."""
-    plain = squeeze(text)
-    gaps = F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit("")))
-    return F.when(plain == "", 0).otherwise(gaps + 1)
+
+    def count(t):
+        return F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
+
+    return let(squeeze(text), count)
 
 
 def strip(text: Column, chars: str) -> Column:
@@ -49,7 +58,8 @@ def sentences(text: Column) -> Column:
 
 
 def whole_word(pattern: str) -> str:
-    return rf"(?<!{LETTER}){pattern}(?!{LETTER})"
+    # the word itself first: it fails at once on most characters
+    return rf"{pattern}(?<!{LETTER}{pattern})(?!{LETTER})"
 
 
 def any_of(words: Sequence[str]) -> str:
