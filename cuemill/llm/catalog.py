@@ -35,3 +35,75 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuemill.llm.jaccard_join import jaccard_components
 
     return jaccard_components(transcripts(spark, sf_dir)).withColumnRenamed("media_id", "doc_id")
+
+
+@query(
+    r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+), b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark
+), piece as (
+  select item_id, w, least(10, len(w)) as n, unnest(generate_series(1, greatest(len(w) - 9, 1))) as i from b where len(w) > 0
+), item as (
+  select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as g from piece
+), place as (
+  select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from d, (select distinct n from item) where len(w) >= n
+), hit as (
+  select p.doc_id, p.i, p.n, t.item_id
+  from (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as g from place) p join item t on p.n = t.n and p.g = t.g
+), inside as (
+  select doc_id, count(distinct k) as n_hit
+  from (select doc_id, unnest(generate_series(i, i + n - 1)) as k from hit) group by doc_id
+), items as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids
+  from (select distinct doc_id, cast(item_id as varchar) as item from hit) group by doc_id
+)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+  cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join inside using (doc_id) left join items using (doc_id)
+"""
+)
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuemill.llm.decontaminate import find_contamination
+
+    found = find_contamination(transcripts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    ids = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
+    return found.select(
+        F.col("media_id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(ids, 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def _remainder(key: str, modulus: int):
+    return F.crc32(F.col(key).cast("string")) % modulus
+
+
+def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Transcripts with a label to learn from: the rows that are not held out."""
+    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("media_id"), F.col(label).cast("int"))
+    marks = marks.filter(F.col(label).isNotNull() & (_remainder("media_id", 3) != 1))
+    return transcripts(spark, sf_dir).select("media_id", "text").join(marks, "media_id")
+
+
+@query()
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuemill.llm.toxicity import learn_toxicity, score_toxicity
+
+    model = learn_toxicity(labelled(spark, sf_dir, "toxic"))
+    found = score_toxicity(transcripts(spark, sf_dir), model)
+    return found.select(
+        F.col("media_id").alias("doc_id"),
+        (_remainder("media_id", 3) == 1).alias("held_out"),
+        "score",
+        "predicted",
+        F.size("passages").alias("n_passages"),
+    )
