@@ -107,3 +107,20 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "predicted",
         F.size("passages").alias("n_passages"),
     )
+
+
+@query()
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuemill.llm.language_id import identify_languages, learn_languages
+
+    held_out = _remainder("media_id", 5) == 0
+    rows = transcripts(spark, sf_dir)
+    model = learn_languages(rows.filter(~held_out))
+    found = identify_languages(rows.select("media_id", "text"), model)
+    return found.select(
+        F.col("media_id").alias("doc_id"),
+        held_out.alias("held_out"),
+        F.col("language_found").alias("lang_pred"),
+        "score",
+        "bits_per_byte",
+    )
