@@ -124,3 +124,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         "bits_per_byte",
     )
+
+
+@query()
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cuemill.llm.pieces import decode_transcripts, encode_transcripts, load_pieces
+
+    pieces = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = encode_transcripts(transcripts(spark, sf_dir), pieces)
+    decoded = decode_transcripts(encoded, pieces, keep=("media_id", "token_ids"))
+    return decoded.select(
+        F.col("media_id").alias("doc_id"),
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
