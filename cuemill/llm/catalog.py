@@ -141,3 +141,50 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
     )
+
+
+@query(
+    r"""
+with d as (select doc_id, coalesce(text, '') as t from documents), m as (
+  select doc_id, 'assign' as kind, 1 as k,
+    string_split_regex(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') as parts,
+    regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') as hits,
+    regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) as tested, 12 as least
+  from d
+  union all
+  select doc_id, 'access', 2, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'),
+    regexp_extract_all(t, 'AKIA[A-Z0-9]+'), 18 from d
+  union all
+  select doc_id, 'hex', 3, string_split_regex(t, '[0-9a-f]{16,}'), regexp_extract_all(t, '[0-9a-f]{16,}'),
+    regexp_extract_all(t, '[0-9a-f]{16,}'), 16 from d
+), each_hit as (
+  select doc_id, kind, k, parts, hits, tested, least, unnest(generate_series(1, len(hits))) as i from m where len(hits) > 0
+), span as (
+  select doc_id, kind, k, len(hits[i]) as size,
+    list_sum(list_transform(parts[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: len(x))), 0) as low
+  from each_hit where len(tested[i]) >= least
+), found as (
+  select doc_id, sum(case when k = 1 then 1 else 0 end) as a, sum(case when k = 2 then 1 else 0 end) as b,
+    sum(case when k = 3 then 1 else 0 end) as c,
+    string_agg(kind || ':' || cast(cast(low as bigint) as varchar) || ':' || cast(cast(low + size as bigint) as varchar), ',' order by low, k) as spans
+  from span group by doc_id
+)
+select doc_id, cast(coalesce(a, 0) as bigint) as n_assign, cast(coalesce(b, 0) as bigint) as n_access,
+  cast(coalesce(c, 0) as bigint) as n_hex, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join found using (doc_id)
+"""
+)
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuemill.llm.secrets import find_secrets
+
+    found = find_secrets(transcripts(spark, sf_dir))
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    named = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["from"], s["to"]))
+    return found.select(
+        F.col("media_id").alias("doc_id"),
+        *[number(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.array_join(named, ",").alias("spans"),
+    ).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
