@@ -23,10 +23,10 @@ def query(sql: str | None = None):
     return add
 
 
-def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as transcripts."""
+def transcripts(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Documents as transcripts, with further columns by their names."""
     return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("media_id"), "text", F.col("lang").alias("language")
+        F.col("doc_id").alias("media_id"), "text", F.col("lang").alias("language"), *more
     )
 
 
@@ -87,11 +87,11 @@ def _remainder(key: str, modulus: int):
     return F.crc32(F.col(key).cast("string")) % modulus
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+def labelled(spark: SparkSession, sf_dir: str, label: str, *more: str) -> DataFrame:
     """Transcripts with a label to learn from: the rows that are not held out."""
     marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("media_id"), F.col(label).cast("int"))
     marks = marks.filter(F.col(label).isNotNull() & (_remainder("media_id", 3) != 1))
-    return transcripts(spark, sf_dir).select("media_id", "text").join(marks, "media_id")
+    return transcripts(spark, sf_dir, *more).drop("language").join(marks, "media_id")
 
 
 @query()
@@ -188,3 +188,14 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[number(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.array_join(named, ",").alias("spans"),
     ).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
+
+
+@query()
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuemill.llm.quality import learn_quality, score_quality
+
+    rows = transcripts(spark, sf_dir, "n_chars")
+    found = score_quality(rows, learn_quality(labelled(spark, sf_dir, "quality", "n_chars")))
+    return found.select(
+        F.col("media_id").alias("doc_id"), (_remainder("media_id", 3) == 1).alias("held_out"), "score", "predicted"
+    )
