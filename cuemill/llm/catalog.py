@@ -199,3 +199,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("media_id").alias("doc_id"), (_remainder("media_id", 3) == 1).alias("held_out"), "score", "predicted"
     )
+
+
+@query()
+def op3_hamming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuemill.llm.hamming_index import nearest_vectors
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest_vectors(vectors, vectors.filter("vec_id % 20 = 0"))
