@@ -207,3 +207,11 @@ def op3_hamming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest_vectors(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+@query()
+def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuemill.llm.page_text import page_texts
+
+    found = page_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
