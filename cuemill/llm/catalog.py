@@ -215,3 +215,11 @@ def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = page_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuemill.llm.url_filter import judge_urls, labelled_urls, learn_url_weights
+
+    weights = learn_url_weights(labelled_urls(spark))
+    return judge_urls(table(spark, sf_dir, "pages"), weights).drop("score")
