@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuemill.operators.timeline import plan_chunks
-from cuemill.session import epoch_ms, spread, table
+from cuemill.session import epoch_ms, table
 
 CHUNK_MS = 60_000
 OVERLAP_MS = 2_500
@@ -32,7 +32,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     The running sum is per document: one document is one input row, so no window
     partition is larger than the text of a row.
     """
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     squeezed = F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\f]+", " ")))
     lines = docs.select(
         F.col("doc_id").alias("media_id"),
