@@ -87,11 +87,15 @@ def _remainder(key: str, modulus: int):
     return F.crc32(F.col(key).cast("string")) % modulus
 
 
+def training_marks(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """(media_id, label) of the rows that are not held out."""
+    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("media_id"), F.col(label).cast("int").alias(label))
+    return marks.filter(F.col(label).isNotNull() & (_remainder("media_id", 3) != 1))
+
+
 def labelled(spark: SparkSession, sf_dir: str, label: str, *more: str) -> DataFrame:
-    """Transcripts with a label to learn from: the rows that are not held out."""
-    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("media_id"), F.col(label).cast("int"))
-    marks = marks.filter(F.col(label).isNotNull() & (_remainder("media_id", 3) != 1))
-    return transcripts(spark, sf_dir, *more).drop("language").join(marks, "media_id")
+    """Transcripts with a label to learn from."""
+    return transcripts(spark, sf_dir, *more).drop("language").join(training_marks(spark, sf_dir, label), "media_id")
 
 
 @query()
@@ -126,23 +130,28 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
-def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encoded(rows: DataFrame) -> DataFrame:
+    """Transcripts as token ids, and digests of the ids and of the text decoded from them."""
     import public_tokenizers
 
     from cuemill.llm.pieces import decode_transcripts, encode_transcripts, load_pieces
 
     pieces = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    encoded = encode_transcripts(transcripts(spark, sf_dir), pieces)
-    decoded = decode_transcripts(encoded, pieces, keep=("media_id", "token_ids"))
-    return decoded.select(
+    ids = encode_transcripts(rows.select("media_id", "text"), pieces)
+    return decode_transcripts(ids, pieces, keep=("media_id", "token_ids")).select(
         F.col("media_id").alias("doc_id"),
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
+        "token_ids",
     )
 
 
+@query()
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(transcripts(spark, sf_dir)).drop("token_ids")
+
+
 @query(
     r"""
 with d as (select doc_id, coalesce(text, '') as t from documents), m as (
