@@ -33,11 +33,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from cuemill.llm.batches import slices, utf8
+from cuemill.llm.bits import bit_table, holds
 from cuemill.llm.graph import components
 from cuemill.llm.words import NOT_BLANK, mix, signed, whole, windows, words
 from cuemill.session import cut
@@ -88,8 +89,11 @@ def _classes_and_counts(transcripts: DataFrame, n: int) -> DataFrame:
             for row, grams in ngram_sets(texts, n):
                 size[row], cls[row] = len(grams), set_id(grams)
                 held.append(grams >> shift)
+                if len(held) == 1000:
+                    counts += np.bincount(np.concatenate(held).view(np.int64), minlength=width)
+                    held = []
             if held:
-                counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=width)
+                counts += np.bincount(np.concatenate(held).view(np.int64), minlength=width)
             empty = pa.array(size == 0)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -151,7 +155,11 @@ def _squeezed(add):
 
 
 def _rarest(transcripts: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(token, cls, n): of every set the n-grams of which a linked set holds at least one."""
+    """(token, cls, n, rest): of every set the n-grams of which a linked set holds at least one.
+
+    ``rest`` counts the n-gram and those after it in the corpus order: if it is
+    the first one that two sets share, they share no more than either rest.
+    """
     spark = transcripts.sparkSession
     order = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.uint32))
     shift = np.uint64(64 - SKETCH_BITS)
@@ -161,7 +169,7 @@ def _rarest(transcripts: DataFrame, n: int, percent: int, counts: np.ndarray) ->
         rank = order.value
         for batch in batches:
             seen: set[int] = set()
-            tokens, cls, size, kept = [], [], [], []
+            tokens, cls, size, kept, rest = [], [], [], [], []
 
             def rows():
                 return pa.RecordBatch.from_arrays(
@@ -169,8 +177,9 @@ def _rarest(transcripts: DataFrame, n: int, percent: int, counts: np.ndarray) ->
                         pa.array(signed(np.concatenate(tokens))),
                         pa.array(np.repeat(np.array(cls, np.int64), kept)),
                         pa.array(np.repeat(np.array(size, np.int32), kept)),
+                        pa.array(np.concatenate(rest).astype(np.int32)),
                     ],
-                    ["token", "cls", "n"],
+                    ["token", "cls", "n", "rest"],
                 )
 
             for _, grams in ngram_sets(batch.column(0), n):
@@ -186,58 +195,42 @@ def _rarest(transcripts: DataFrame, n: int, percent: int, counts: np.ndarray) ->
                 cls.append(here)
                 size.append(m)
                 kept.append(k)
+                rest.append(m - np.arange(k))
                 if len(kept) >= 2000:
                     yield rows()
-                    tokens, cls, size, kept = [], [], [], []
+                    tokens, cls, size, kept, rest = [], [], [], [], []
             if kept:
                 yield rows()
 
-    return transcripts.select("text").mapInArrow(run, "token long, cls long, n int")
+    return transcripts.select("text").mapInArrow(run, "token long, cls long, n int, rest int")
 
 
 def _sets_of(transcripts: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """(cls, grams) for the classes ``wanted`` (cls, media_id): the n-gram set as bytes, once per class.
+    """(cls, grams) for at least the classes ``wanted`` (cls, media_id): the n-gram set as bytes.
 
-    A bit table of fixed size, made of all wanted ids, spares making other sets.
+    A bit table of fixed size, made of all wanted ids, spares making most other
+    sets; a class may come twice if other ids share its bits or its row is repeated.
     """
     spark = transcripts.sparkSession
-    slot = F.pmod(F.xxhash64("media_id"), F.lit(1 << _WANTED_BITS)).cast("int")
-    bits = np.zeros((1 << _WANTED_BITS) // 8, np.uint8)
-    by_byte = wanted.select(slot.alias("s")).distinct()
-    by_byte = by_byte.groupBy(F.expr("s div 8").cast("int").alias("at")).agg(
-        F.expr("bit_or(cast(shiftleft(1, cast(s % 8 as int)) as int))").alias("v")
-    )
-    found = by_byte.toArrow()
-    if found.num_rows:
-        bits[found.column("at").to_numpy()] = found.column("v").to_numpy().astype(np.uint8)
+    slot = F.xxhash64("media_id")
+    bits = bit_table(wanted, slot, _WANTED_BITS)
     table = spark.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = table.value
         for batch in batches:
-            s = batch.column(0).to_numpy()
-            near = np.flatnonzero((held[s >> 3] >> (s & 7).astype(np.uint8)) & 1)
-            part = batch.take(pa.array(near))
-            rows, grams = [], []
-            for row, g in ngram_sets(part.column(2), n):
-                rows.append(row)
-                grams.append(g)
-            if rows:
+            near = np.flatnonzero(holds(held, batch.column(0).to_numpy().view(np.uint64)))
+            grams = [g for _, g in ngram_sets(batch.column(1).take(pa.array(near)), n)]
+            if grams:
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(1).take(pa.array(rows)),
                         pa.array([set_id(g) for g in grams], pa.int64()),
                         pa.array([g.tobytes() for g in grams], pa.binary()),
                     ],
-                    ["media_id", "cls", "grams"],
+                    ["cls", "grams"],
                 )
 
-    kind = transcripts.schema["media_id"].dataType.simpleString()
-    made = transcripts.select(slot.alias("s"), "media_id", "text").mapInArrow(
-        run, f"media_id {kind}, cls long, grams binary"
-    )
-    # the id may stand on several rows; the class picks the right one, and copies of it are dropped
-    return made.join(wanted, ["cls", "media_id"], "left_semi").select("cls", "grams").dropDuplicates(["cls"])
+    return transcripts.select(slot.alias("s"), "text").mapInArrow(run, "cls long, grams binary")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -260,43 +253,68 @@ def _check_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.filter(links("grams_a", "grams_b")).select("a", "b")
 
 
-def _fits(n1, n2, percent: int):
-    return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
+def _may_link(n1, rest1, n2, rest2, percent: int):
+    """What two sets of n1 and n2 can share is enough, if this is the first n-gram that they share."""
+    shared = F.least(rest1, rest2).cast("long")
+    return shared * (100 + percent) >= (n1 + n2) * percent
+
+
+def _enough(met, low, high, percent: int):
+    """Sets of ``low`` to ``high`` n-grams may link if they meet in ``met`` columns of the matrix.
+
+    Those are the first ones they share. What they share besides lies beyond the
+    columns of one of them, where less than ``percent`` of its n-grams are left,
+    and percent / (100 + percent) of both together must be shared.
+    """
+    low, high = low.cast("long"), high.cast("long")
+    most = (met - 1) * 100 + high * percent + 100
+    return most * (100 + percent) >= (low + high) * 100 * percent
 
 
 def _leader_pairs(columns: DataFrame, percent: int) -> DataFrame:
-    """Classes with the leaders of their n-grams, a < b."""
+    """Classes with the leaders of their n-grams, a < b, that may link by the columns in which one leads the other."""
     shared = columns.groupBy("cls").agg(F.count("*").alias("shared"))
     ranked = columns.join(shared, "cls")
     lead = ranked.groupBy("token").agg(
-        F.max_by(F.struct("cls", "n"), F.struct("shared", "cls")).alias("first"),
-        F.min(F.struct("cls", "n")).alias("other"),
+        F.max_by(F.struct("cls", "n", "rest"), F.struct("shared", "cls")).alias("first"),
+        F.min(F.struct("cls", "n", "rest")).alias("other"),
     )
     rows = columns.join(lead, "token")
-    pairs = rows.select("cls", "n", F.explode(F.array("first", "other")).alias("l"))
-    pairs = pairs.filter((F.col("cls") != F.col("l.cls")) & _fits(F.col("n"), F.col("l.n"), percent))
-    return pairs.select(F.least("cls", "l.cls").alias("a"), F.greatest("cls", "l.cls").alias("b")).distinct()
+    pairs = rows.select("token", "cls", "n", "rest", F.explode(F.array_distinct(F.array("first", "other"))).alias("l"))
+    near = _may_link(F.col("n"), F.col("rest"), F.col("l.n"), F.col("l.rest"), percent)
+    met = pairs.filter(F.col("cls") != F.col("l.cls")).groupBy(
+        F.least("cls", "l.cls").alias("a"), F.greatest("cls", "l.cls").alias("b")
+    )
+    met = met.agg(
+        F.count("*").alias("met"),
+        F.least(F.min("n"), F.min("l.n")).alias("low"),
+        F.greatest(F.max("n"), F.max("l.n")).alias("high"),
+        F.max(near).alias("near"),
+    )
+    return met.filter(F.col("near") & _enough(F.col("met"), F.col("low"), F.col("high"), percent)).select("a", "b")
 
 
 def _group_queries(columns: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(cls, group): classes and the other groups they meet in a column of the matrix, sizes allowing.
+    """(cls, group): classes and the other groups they meet in enough columns of the matrix, sizes allowing.
 
     Of two groups that meet, the classes of the one with fewer members are the queries.
     """
-    size = groups.groupBy("group").agg(F.count("*").alias("members"))
-    rows = columns.join(groups.select("cls", "group"), "cls").join(size, "group")
-    matrix = rows.groupBy("token", "group").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.first("members").alias("members")
-    )
+    size = groups.groupBy("group").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
+    side = groups.select("cls", "group").join(size, "group").select("cls", F.struct("members", "group", "low", "high").alias("g"))
+    rows = columns.select("token", "cls", "rest").join(side, "cls")
+    matrix = rows.groupBy("token", "g").agg(F.max("rest").alias("rest"))
     met = matrix.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
     matrix = matrix.join(met, "token")
     # every group with those that are larger: by members, then by id
-    rank = F.struct("members", "group")
-    left = matrix.select("token", rank.alias("small"), F.col("low").alias("low1"), F.col("high").alias("high1"))
-    right = matrix.select("token", rank.alias("large"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    near = (F.col("low1") * percent <= F.col("high2") * 100) & (F.col("low2") * percent <= F.col("high1") * 100)
-    pairs = left.join(right, "token").filter((F.col("small") < F.col("large")) & near)
-    pairs = pairs.select(F.col("small.group").alias("small"), F.col("large.group").alias("group")).distinct()
+    left = matrix.select("token", F.col("g").alias("small"), F.col("rest").alias("rest1"))
+    right = matrix.select("token", F.col("g").alias("large"), F.col("rest").alias("rest2"))
+    near = _may_link(F.col("small.low"), F.col("rest1"), F.col("large.low"), F.col("rest2"), percent)
+    # every column that two groups share counts, but one must be possible as their first
+    pairs = left.join(right, "token").filter(F.col("small") < F.col("large"))
+    pairs = pairs.groupBy("small", "large").agg(F.count("*").alias("met"), F.max(near).alias("near"))
+    low, high = F.least("small.low", "large.low"), F.greatest("small.high", "large.high")
+    pairs = pairs.filter(F.col("near") & _enough(F.col("met"), low, high, percent))
+    pairs = pairs.select(F.col("small.group").alias("small"), F.col("large.group").alias("group"))
     members = groups.select("cls", F.col("group").alias("small"))
     return pairs.join(members, "small").select("cls", "group")
 
@@ -368,16 +386,22 @@ def jaccard_components(transcripts: DataFrame, n: int = 5, percent: int = 75) ->
     classes = docs.filter("cls is not null").groupBy("cls").agg(F.min("media_id").alias("media_id"))
 
     rare = _rarest(transcripts, n, percent, counts).repartition("token")
-    held = rare.groupBy("token").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y")
-    columns = cut(rare.join(held.select("token"), "token").distinct())
-    wanted = columns.select("cls").distinct().join(classes, "cls")
-    sets = cut(_sets_of(transcripts, n, wanted))
-
-    links = cut(_check_pairs(_leader_pairs(columns, percent), sets, percent))
+    # all columns are read, so that the exchange of rare serves both sides
+    held = rare.groupBy("token").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.max(F.col("n") + F.col("rest")).alias("z"))
+    held = held.filter("x <> y and z > 0").select("token")
+    columns = cut(rare.join(held, "token").distinct())
+
+    pairs = cut(_leader_pairs(columns, percent))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    links = cut(_check_pairs(pairs, _sets_of(transcripts, n, ends.join(classes, "cls")), percent).distinct())
     led = components(links)
-    groups = wanted.select("cls").join(led.withColumnRenamed("node", "cls"), "cls", "left")
-    groups = cut(groups.select("cls", F.coalesce("root", "cls").alias("group")))
-    more = _open_groups(_group_queries(columns, groups, percent), groups, sets, percent)
+    groups = columns.select("cls", "n").distinct().join(led.withColumnRenamed("node", "cls"), "cls", "left")
+    groups = cut(groups.select("cls", "n", F.coalesce("root", "cls").alias("group")))
+
+    queries = cut(_group_queries(columns, groups, percent))
+    opened = groups.join(queries.select("group").distinct(), "group").select("cls", "group")
+    ends = queries.select("cls").union(opened.select("cls")).distinct()
+    more = _open_groups(queries, opened, _sets_of(transcripts, n, ends.join(classes, "cls")), percent)
 
     # groups are nodes now: the first links are in them already
     ends = more.join(groups.select(F.col("cls").alias("a"), F.col("group").alias("g")), "a")
