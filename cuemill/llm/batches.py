@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 Columns = dict[str, pa.Array]
 
 # Bytes of text worked on at once; a longer single text is a slice of its own.
-SLICE = 4_000_000
+SLICE = 1_000_000
 
 
 def add_columns(

@@ -24,7 +24,7 @@ SPACE = 0x2581
 UNKNOWN = " ⁇ "
 _NONE = np.int32(2**31 - 1)
 # Characters encoded at once; a longer single text is worked on whole.
-_CHARS = 2_000_000
+_CHARS = 500_000
 _SECOND_BASE = 0xC2B2AE3D27D4EB4F
 
 

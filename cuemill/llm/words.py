@@ -35,24 +35,32 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int, base: int) -> np.ndarray:
+# Powers up to this one are kept.
+_KEPT = 1 << 20
+
+
+def _made_powers(n: int, base: int) -> np.ndarray:
     p = np.full(n, base, np.uint64)
-    p[0] = 1
+    p[:1] = 1
     return np.cumprod(p)
 
 
-def _room(n: int) -> int:
-    return 1 << max(16, int(n).bit_length())
+@lru_cache(maxsize=8)
+def _kept_powers(base: int) -> np.ndarray:
+    return _made_powers(_KEPT, base)
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    return _kept_powers(base) if n <= _KEPT else _made_powers(n, base)
 
 
 def fingerprints(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
     """Of the byte ranges ``starts`` to ``ends`` of ``raw``."""
     n = len(raw)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_room(n), base)[:n], out=sums[1:])
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(n, base)[:n], out=sums[1:])
     inverse = _INVERSE if base == _BASE else pow(base, -1, 1 << 64)
-    return mix((sums[ends] - sums[starts]) * _powers(_room(n), inverse)[starts])
+    return mix((sums[ends] - sums[starts]) * _powers(n, inverse)[starts])
 
 
 def spans(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
