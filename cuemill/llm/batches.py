@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
@@ -32,15 +33,26 @@ def add_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            made = work({name: batch.column(columns.index(name)) for name in used})
-            arrays = [batch.column(columns.index(k)) for k in kept] + [made[n] for n in names]
-            yield pa.RecordBatch.from_arrays(arrays, [*kept, *names])
+            for part in _parts(batch, columns.index(used[0])):
+                made = work({name: part.column(columns.index(name)) for name in used})
+                arrays = [part.column(columns.index(k)) for k in kept] + [made[n] for n in names]
+                yield pa.RecordBatch.from_arrays(arrays, [*kept, *names])
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of a few slices of text each, so that what is made of a piece stays small."""
+    values = batch.column(column)
+    if pa.types.is_list(values.type):
+        size = pc.multiply(values.value_lengths().fill_null(0), 4)
+    else:
+        size = pc.binary_length(values).fill_null(0)
+    ends = np.concatenate(([0], np.cumsum(size.to_numpy().astype(np.int64) + 1)))
+    for i, j in slices(ends, 4 * SLICE):
+        yield batch.slice(i, j - i)
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and where each begins; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -134,15 +134,14 @@ def encoded(rows: DataFrame) -> DataFrame:
     """Transcripts as token ids, and digests of the ids and of the text decoded from them."""
     import public_tokenizers
 
-    from cuemill.llm.pieces import decode_transcripts, encode_transcripts, load_pieces
+    from cuemill.llm.pieces import encode_transcripts, load_pieces
 
     pieces = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    ids = encode_transcripts(rows.select("media_id", "text"), pieces)
-    return decode_transcripts(ids, pieces, keep=("media_id", "token_ids")).select(
+    return encode_transcripts(rows, pieces, decoded=True).select(
         F.col("media_id").alias("doc_id"),
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
         "token_ids",
     )
 

@@ -45,6 +45,10 @@ _MARKS = {
     "sharing", "sidebar", "sitemap", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar",
 }
 _MARKS_OUTSIDE_ARTICLE = {"header"}
+# First parts of names that say what something has or hasn't, not what it is.
+_ABOUT = {"has", "is", "no", "not", "with", "without"}
+# Marks that count on an article element itself.
+_READERS = {"comment", "comments", "commentlist", "replies", "respond"}
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -76,8 +80,13 @@ def _marked(name: str, attributes: str, in_article: bool) -> bool:
             if re.search(r"display\s*:\s*none", value):
                 return True
         elif name not in ("body", "html") and key in ("class", "id", "role"):
-            words = set(_PART.split(value))
-            if words & _MARKS or (not in_article and words & _MARKS_OUTSIDE_ARTICLE):
+            words = set()
+            for entry in value.split():
+                parts = _PART.split(entry)
+                if parts[0] not in _ABOUT:
+                    words.update(parts)
+            marks = _READERS if name in _CONTENT else _MARKS
+            if words & marks or (not in_article and name not in _CONTENT and words & _MARKS_OUTSIDE_ARTICLE):
                 return True
     return False
 
@@ -135,11 +144,14 @@ def text_lines(page: str | None) -> list[tuple[str, int]]:
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    close()
-                    for _, was_dropped, was_content in stack[k:]:
+                    # text markup ends alone, other elements end all that is open inside them
+                    ended = slice(k, k + 1 if name in _INLINE else None)
+                    if any(was_dropped for _, was_dropped, _ in stack[ended]):
+                        close()
+                    for _, was_dropped, was_content in stack[ended]:
                         dropped -= was_dropped
                         content -= was_content
-                    del stack[k:]
+                    del stack[ended]
                     break
             continue
         if name not in _INLINE and stack and stack[-1][0] in _CLOSED_BY_BLOCK and (

@@ -232,27 +232,37 @@ def _lists(ids: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
 
 
-def encode_transcripts(transcripts: DataFrame, pieces: PieceTables, keep: tuple[str, ...] = ("media_id",)) -> DataFrame:
+def encode_transcripts(
+    transcripts: DataFrame, pieces: PieceTables, keep: tuple[str, ...] = ("media_id",), decoded: bool = False
+) -> DataFrame:
     """``keep`` columns of transcripts (text) with token_ids: the piece ids of the whole text.
 
     The ids are those that the sentencepiece library gives for the model, without
-    begin and end pieces. A null or empty text has no ids. Rows stay rows.
+    begin and end pieces. A null or empty text has no ids. With ``decoded``, a
+    column of that name holds what the ids decode to, as a check of the round
+    trip without another pass. Rows stay rows.
     """
     shared = transcripts.sparkSession.sparkContext.broadcast(pieces)
 
     def work(columns):
         texts = columns["text"].to_pylist()
-        parts, sizes, held, k = [], [], 0, 0
+        parts, sizes, written, held, k = [], [], [], 0, 0
         for i, text in enumerate(texts):
             held += len(text or "")
             if held >= _CHARS or i + 1 == len(texts):
                 ids, at = encode_texts(texts[k : i + 1], shared.value)
                 parts.append(ids)
                 sizes.append(np.diff(at))
+                if decoded:
+                    written += decode_ids(ids, at, shared.value)
                 held, k = 0, i + 1
-        return {"token_ids": _lists(np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))))}
+        at = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+        made = {"token_ids": _lists(np.concatenate(parts), at)}
+        return made | {"decoded": pa.array(written, pa.string())} if decoded else made
 
-    return add_columns(transcripts, ["text"], keep, "token_ids array<int>", work)
+    return add_columns(
+        transcripts, ["text"], keep, "token_ids array<int>" + ", decoded string" * decoded, work
+    )
 
 
 def decode_transcripts(encoded: DataFrame, pieces: PieceTables, keep: tuple[str, ...] = ("media_id",)) -> DataFrame:

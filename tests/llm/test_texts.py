@@ -227,6 +227,8 @@ def test_pieces_are_those_of_the_library(spark):
     assert sorted(((r.media_id, list(r.token_ids)) for r in encoded.collect()), key=repr) == want
     decoded = [(r.media_id, r.text) for r in decode_transcripts(encoded, pieces).collect()]
     assert sorted(decoded, key=repr) == sorted(((k, library.decode(library.encode(t or ""))) for k, t in rows), key=repr)
+    both = encode_transcripts(df, pieces, decoded=True).collect()
+    assert all(r.decoded == library.decode(list(r.token_ids)) for r in both) and len(both) == len(rows)
     assert encode_transcripts(df.limit(0), pieces).count() == 0
 
 
