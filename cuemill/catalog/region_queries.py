@@ -37,12 +37,12 @@ def padded_regions(spark, sf):
 
 
 def _segment_regions(spark, sf):
-    return fx.segments(spark, sf).filter("size(words) >= 25").select("media_id", "start_ms", "end_ms")
+    return fx.segments(spark, sf).select("media_id", "start_ms", "end_ms")
 
 
 @query("""
   select m.media_id, coalesce(r.ms / m.duration_ms, 0.0::double) as speech_ratio from media m
-  left join (select media_id, cast(sum(end_ms - start_ms) as bigint) as ms from segs where n_words >= 25 group by 1) r
+  left join (select media_id, cast(sum(end_ms - start_ms) as bigint) as ms from segs group by 1) r
   on m.media_id = r.media_id
 """)
 def speech_ratio(spark, sf):
@@ -51,7 +51,7 @@ def speech_ratio(spark, sf):
 
 @query("""
   select m.media_id, coalesce(r.ms, 0) as first_speech_ms from media m
-  left join (select media_id, min(start_ms) as ms from segs where n_words >= 25 group by 1) r
+  left join (select media_id, min(start_ms) as ms from segs group by 1) r
   on m.media_id = r.media_id
 """)
 def first_speech(spark, sf):

@@ -44,9 +44,18 @@ def _styled(fmt, first):
   from words"""
 
 
-@query(" union all ".join([_numbered("srt", ","), _numbered("vtt", "."), _styled("ass", "0"), _styled("ssa", "Marked=0")]))
+def _head(fmt):
+    return f"select '{fmt}', media_id, -1, '{captions._HEADS[fmt]}' from (select distinct media_id from words)"
+
+
+@query(
+    " union all ".join(
+        [_numbered("srt", ","), _numbered("vtt", "."), _styled("ass", "0"), _styled("ssa", "Marked=0")]
+        + [_head(fmt) for fmt in captions._HEADS]
+    )
+)
 def caption_file_lines(spark, sf):
-    return captions.caption_lines(_cues(spark, sf), captions.FORMATS).filter("cue_idx >= 0")
+    return captions.caption_lines(_cues(spark, sf), captions.FORMATS)
 
 
 def _files(spark, sf, fmt):
@@ -59,7 +68,7 @@ def _files(spark, sf, fmt):
 
 _READ = """
   select 'm' || media_id as file, cast(seq as integer) as cue_idx, start_ms, end_ms, word || chr(10) || word as text,
-         null::varchar as style
+         'Default' as style
   from words
 """
 
@@ -83,10 +92,17 @@ def parsed_ass(spark, sf):
     return captions.parse_captions(_files(spark, sf, "ass"), "ass")
 
 
+_HEAD_LINES = captions._ASS_HEAD.split("\n")
+
+
 @query(f"""
-  select 'm' || media_id as file, cast(seq as integer) as cue_idx,
+  select 'm' || media_id as file, cast(seq + {len(_HEAD_LINES)} as integer) as line_idx, cast(seq as integer) as cue_idx,
          'Dialogue: 0,' || {_SHORT.format(t="start_ms")} || ',' || {_SHORT.format(t="end_ms")} || ',Default,,0,0,0,,' || word || '!\\Nx' as value
   from words where word <> 'um'
+  union all
+  select 'm' || media_id, h.line_idx, -1, h.value
+  from (select distinct media_id from words) cross join
+       (values {", ".join(f"({k}, '{line}')" for k, line in enumerate(_HEAD_LINES))}) as h(line_idx, value)
 """)
 def retexted_ass(spark, sf):
     new = fx.words(spark, sf).filter("word <> 'um'").select(
@@ -94,7 +110,7 @@ def retexted_ass(spark, sf):
         F.col("seq").cast("int").alias("cue_idx"),
         F.concat("word", F.lit("!\nx")).alias("text"),
     )
-    return captions.retext(_files(spark, sf, "ass"), new, "ass").filter("cue_idx >= 0")
+    return captions.retext(_files(spark, sf, "ass"), new, "ass")
 
 
 @query(r"""

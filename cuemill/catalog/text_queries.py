@@ -326,7 +326,8 @@ def fuzzy_overlaps(spark, sf):
 
 @query()
 def transcript_job(spark, sf):
-    texts = fx.chunk_texts(spark, sf).withColumn("language", F.lit("en"))
+    spoken = fx.media(spark, sf).select("media_id", "language")
+    texts = fx.chunk_texts(spark, sf).join(spoken, "media_id")
     return transcripts_from_chunks(texts, fx.chunks(spark, sf))
 
 
@@ -345,26 +346,22 @@ def carried_language(spark, sf):
     return carry_language(_detected(spark, sf))
 
 
-_PROFILE = """
-  profile as (
-    select language, word from (
-      select language, word, row_number() over (partition by language order by count(*) desc, word) as rank
-      from (select language, lower(word) as word from words) group by 1, 2)
-    where rank <= 200
-  )
-"""
-
-
-@query(f"""
-  with {_PROFILE},
-  hits as (
-    select media_id, p.language, count(*) as n
-    from (select media_id, lower(word) as word from words where seg_idx < 10) w join profile p using (word) group by 1, 2
+@query("""
+  with counts as (
+    select language, lower(word) as word, count(*) as n from words where media_id % 5 <> 0 group by 1, 2
+  ), profile as (
+    select language, word, cast(n * 1000000 // sum(n) over (partition by language) as bigint) as share from counts
+  ), scores as (
+    select media_id, p.language, sum(n * share) as score
+    from (select media_id, lower(word) as word, count(*) as n from words where seg_idx < 10 group by 1, 2) w
+    join profile p using (word) group by 1, 2
+  ), best as (
+    select *, row_number() over (partition by media_id order by score desc, language) as rn from scores
   )
-  select media_id, language from (
-    select *, row_number() over (partition by media_id order by n desc, language) as rn from hits) where rn = 1
+  select m.media_id, b.language from media m left join (select * from best where rn = 1) b on m.media_id = b.media_id
 """)
 def detected_language(spark, sf):
+    """Profiles from four fifths of the media, used on all of them."""
     texts = _texts(spark, sf)
-    profiles = language_profiles(texts)
+    profiles = language_profiles(texts.filter("media_id % 5 <> 0"))
     return detect_language(texts.withColumnRenamed("seg_idx", "cue_idx"), profiles)

@@ -186,13 +186,13 @@ def break_sentences(text: Column) -> Column:
         return F.when(ends_sentence(sentence), sentence).otherwise(F.concat(sentence, mark))
 
     def close_all(items):
-        return F.array_join(F.transform(items, lambda s, k: closed(s, k, F.size(items))), " ")
+        # a cut at the very end leaves an empty piece, which stands for "nothing left over"
+        real = F.when(F.element_at(items, -1) == "", F.slice(items, 1, F.size(items) - 1)).otherwise(items)
+        return F.array_join(F.transform(real, lambda s, k: closed(s, k, F.size(items))), " ")
 
     def cut(t):
-        # a cut at the very end leaves an empty piece, which stands for "nothing left over"
         pieces = F.split(F.regexp_replace(t, pattern, "$1" + MARK), MARK + " ?")
-        marked = let(pieces, close_all)
-        return F.when(t == "", "").otherwise(F.regexp_replace(marked, r" \.$", ""))
+        return F.when(t == "", "").otherwise(let(pieces, close_all))
 
     return let(squeeze(text), cut)
 

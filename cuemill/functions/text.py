@@ -26,6 +26,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
+def trimmed(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+
+
 def tokens(text: Column) -> Column:
     none = F.array().cast("array<string>")
     return let(squeeze(text), lambda t: F.when(t == "", none).otherwise(F.split(t, " ")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuemill.functions.text import trimmed
+
 
 def plan_chunks(media: DataFrame, max_ms: int = 1_500_000, overlap_ms: int = 2_500) -> DataFrame:
     """Equal slices of at most max_ms, each extended by an overlap; nothing for short media.
@@ -115,11 +117,11 @@ def primary_window(segments: DataFrame, chunks: DataFrame, tolerance_ms: int = 5
 
 
 def drop_empty_text(df: DataFrame) -> DataFrame:
-    return df.filter(F.length(F.trim("text")) > 0)
+    return df.filter(trimmed(F.col("text")) != "")
 
 
 def assemble_text(segments: DataFrame) -> DataFrame:
     """One text per media: non-empty segment texts in order, one space apart."""
-    item = F.struct("seg_idx", F.trim("text").alias("text"))
+    item = F.struct("seg_idx", trimmed(F.col("text")).alias("text"))
     rows = drop_empty_text(segments).groupBy("media_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     return rows.select("media_id", F.array_join("items.text", " ").alias("text"))
