@@ -177,8 +177,8 @@ _LISTS = "stats array<double>, bucket array<int>, value array<float>"
 def _ready(transcripts: DataFrame) -> DataFrame:
     """Transcripts with a recorded length, null where they have none."""
     if "n_chars" in transcripts.columns:
-        return transcripts
-    return transcripts.withColumn("n_chars", F.lit(None).cast("long"))
+        return transcripts.withColumn("n_chars", F.col("n_chars").try_cast("double"))
+    return transcripts.withColumn("n_chars", F.lit(None).cast("double"))
 
 
 def learn_quality(labelled: DataFrame, sample_rows: int = 6_000) -> QualityModel:

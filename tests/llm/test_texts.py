@@ -22,7 +22,7 @@ ODD = [(90, None), (91, ""), (92, "1234 !!"), (93, "word " * 20_000), (94, "same
 
 
 def with_clashes(df):
-    for name in ("score", "predicted", "n_words", "spans", "token_ids", "language_found", "passages"):
+    for name in ("score", "predicted", "n_words", "spans", "token_ids", "language_found", "passages", "n_chars"):
         df = df.withColumn(name, F.lit("old"))
     return df
 
