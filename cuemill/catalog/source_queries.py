@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cuemill import fixtures as fx
 from cuemill.catalog import query
+from cuemill.operators.language import language_profiles
 from cuemill.plans.captions import caption_cues, place_segments
 from cuemill.plans.translation import translate_captions
 from cuemill.sources import captions, transcripts
@@ -137,4 +138,5 @@ def caption_job(spark, sf):
 
 @query()
 def translation_job(spark, sf):
-    return translate_captions(_files(spark, sf, "ass"), "ass")
+    spoken = fx.segments(spark, sf).filter("media_id % 5 <> 0").select("language", "text")
+    return translate_captions(_files(spark, sf, "ass"), "ass", target="en", profiles=language_profiles(spoken))
