@@ -16,8 +16,14 @@ def media_inventory(spark, sf):
 
 
 @query(f"""
-  select folder from (select regexp_replace(path, '/[^/]*$', '') as folder, {_IS_MEDIA} as media from listing)
-  group by 1 having not bool_or(media)
+  with direct as (
+    select folder, string_split(folder, '/') as parts, bool_or(media) as holds_media
+    from (select regexp_replace(path, '/[^/]*$', '') as folder, {_IS_MEDIA} as media from listing) group by folder
+  ), folders as (
+    select distinct array_to_string(parts[1:k], '/') as folder
+    from (select parts, unnest(generate_series(1, len(parts))) as k from direct) where parts[k] <> '' and parts[k] not like '%:'
+  )
+  select folder from folders where folder not in (select folder from direct where holds_media)
 """)
 def folders_without_media(spark, sf):
     return inventory.folders_without_media(fx.listing(spark, sf))

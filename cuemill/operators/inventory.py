@@ -30,9 +30,18 @@ def folder_of(path):
     return F.regexp_replace(path, r"/[^/]*$", "")
 
 
+def folders_above(folder):
+    """A folder and all that it lies in, down from the first named one."""
+    parts = F.split(folder, "/")
+    prefixes = F.transform(parts, lambda part, k: F.struct(part.alias("last"), F.array_join(F.slice(parts, 1, k + 1), "/").alias("folder")))
+    named = F.filter(prefixes, lambda p: (p["last"] != "") & ~p["last"].endswith(":"))
+    return F.transform(named, lambda p: p["folder"])
+
+
 def folders_without_media(listing: DataFrame) -> DataFrame:
-    """Folders of a listing that hold no media file themselves."""
-    folders = listing.select(folder_of(F.col("path")).alias("folder")).distinct()
+    """Folders of a listing that hold no media file themselves, also those that hold only folders."""
+    direct = listing.select(folder_of(F.col("path")).alias("folder")).distinct()
+    folders = direct.select(F.explode(folders_above(F.col("folder"))).alias("folder")).distinct()
     media = listing.filter(suffix_of(F.col("path")).isin(*SUFFIXES))
     return folders.join(media.select(folder_of(F.col("path")).alias("folder")).distinct(), "folder", "left_anti")
 
