@@ -30,7 +30,7 @@ def live_run_status(spark, sf):
     status = F.when(kind == "signup", "queued").when(kind == "purchase", "completed").when(kind == "error", "failed")
     cents = F.round(F.col("value") * 100).cast("long")
     log = events.select("ts", F.coalesce(status, F.lit("processing")).alias("status"), cents.alias("processing_s"))
-    counts = run_available(live.run_status(log), "complete")
+    counts = run_available(live.run_status(log), "update", ["window_start", "status"])
     return counts.select(
         F.unix_millis("window_start").alias("window_ms"), "status", "changes", F.col("mean_s").alias("mean_cents")
     )

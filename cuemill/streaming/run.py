@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from cuemill.session import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's checkpoint folder; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base or tempfile.mkdtemp(prefix='cuemill-stream-')}/{uuid.uuid4().hex}"
 
-
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
     """Process what is there and read the result back.
 
-    In complete mode each batch replaces the result, so open windows are in it too.
+    In update mode each batch adds the rows it changed, and the last one of every
+    key (``keys``) counts: the watermark frees state, and a batch that is run
+    again replaces what it wrote. In complete mode each batch replaces the
+    result, so open windows are in it too; all of its state is kept.
     """
     spark = stream.sparkSession
-    folder = shared_folder(spark)
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    out = f"{folder}/out"
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True)
     if mode == "append":
-        query = writer.format("parquet").start(f"{folder}/out")
+        query = writer.format("parquet").start(out)
+    elif mode == "update":
+        query = writer.foreachBatch(
+            lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        ).start()
     else:
-        query = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{folder}/out")).start()
+        query = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(out)
+    rows = spark.read.parquet(out)
+    rest = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*keys, "last.*").select(*stream.columns)
