@@ -38,11 +38,11 @@ _AROUND = {"nav", "aside", "form", "menu", "dialog", "button", "head"}
 _OUTSIDE_ARTICLE = {"header", "footer"}
 # Words of class, id and role attributes that name what is not the article.
 _MARKS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs",
-    "comment", "comments", "commentlist", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "alert", "banner", "breadcrumb",
+    "breadcrumbs", "comment", "comments", "commentlist", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr",
     "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices",
     "pagination", "popup", "promo", "promoted", "promotion", "related", "replies", "respond", "search", "share",
-    "sharing", "sidebar", "sitemap", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar",
+    "sharing", "sidebar", "sitemap", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
 _MARKS_OUTSIDE_ARTICLE = {"header"}
 # First parts of names that say what something has or hasn't, not what it is.
