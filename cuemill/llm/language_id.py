@@ -22,6 +22,8 @@ from cuemill.llm.batches import add_columns, utf8
 from cuemill.llm.sampling import draw
 
 ORDER = 4
+# More languages than this are an error, since a model holds a tree for each.
+LANGUAGES = 1_000
 # Positions coded at once.
 _STRIDE = 1 << 18
 
@@ -174,12 +176,18 @@ def learn_languages(labelled: DataFrame, sample_bytes: int = 2_000_000) -> Langu
     Rows without a text or language are left out. ``sample_bytes`` bounds the
     text that is read per language, on average, by drawing whole transcripts;
     windows are counted in Spark, and the counts of that bounded text reach the
-    driver. Without rows there are no languages.
+    driver. Without rows there are no languages; more than LANGUAGES raise
+    ValueError.
     """
     rows = labelled.filter("text is not null and language is not null").select("media_id", "text", "language")
-    sizes = rows.groupBy("language").agg(F.sum(F.octet_length("text")).alias("n"))
-    share = sizes.select("language", (F.lit(float(sample_bytes)) / F.greatest("n", F.lit(1))).alias("share"))
-    drawn = draw(rows.join(share, "language"), F.col("share"))
+    sizes = rows.groupBy("language").agg(F.sum(F.octet_length("text")).alias("n")).limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn")
+    share = rows.sparkSession.createDataFrame(
+        [(r["language"], sample_bytes / max(r["n"], 1)) for r in sizes], "language string, share double"
+    )
+    # a row per language, so at most LANGUAGES: rows with text needn't be shuffled to meet it
+    drawn = draw(rows.join(F.broadcast(share), "language"), F.col("share"))
     counts = _counts(drawn).toArrow()
     language, size = counts.column("language").to_numpy(), counts.column("size").to_numpy()
     gram, n = counts.column("gram").to_numpy().view(np.uint64), counts.column("n").to_numpy()
