@@ -7,7 +7,9 @@ value to rows. If two codes differ in at most r bits, one of m substrings
 differs in at most a = floor(r / m) bits, and more exactly one of the first
 r - a m + 1 in a or one of the others in a - 1. Probing all values that near in
 each table returns every code within r. Those that are within r are ranked by
-their inner products in double precision.
+their inner products in double precision. How large r must be is measured: a few
+queries are compared with every row, and r reaches as far as their true
+neighbours' codes lie, however many rows there are.
 
 Rows lie in blocks of bounded size, each with its own tables; a block of queries
 meets every block of rows.
@@ -23,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuemill.llm.sampling import bounded
+from cuemill.llm.sampling import bounded, draw
 
 _WORD = 12  # bits of a substring
 # Rows and queries in a block.
 ROWS, QUERIES = 16_384, 512
+# Queries that are compared with every row to measure how far codes of true neighbours lie.
+MEASURED = 128
 
 
 @dataclass
@@ -123,10 +127,17 @@ class MultiIndex:
         return rows[apart <= radius]
 
 
-def _radii(codes: np.ndarray, model: CodeModel, rows: int, wanted: int) -> np.ndarray:
+def _spread(codes: np.ndarray, model: CodeModel) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation, 1 at least, of every code's distances to the sample."""
+    apart = [np.bitwise_count(model.sample ^ code).sum(axis=1) for code in codes]
+    return np.array([a.mean() for a in apart]), np.array([max(a.std(), 1.0) for a in apart])
+
+
+def _radii(codes: np.ndarray, model: CodeModel, rows: int, wanted: int, reach: float | None = None) -> np.ndarray:
     """Per query a radius within which about ``wanted`` of ``rows`` codes lie, from the distances to the sample.
 
     The tail below the sample's finest share is that of a normal distribution.
+    The radius is no smaller than ``reach`` standard deviations from the mean.
     """
     bits = 8 * codes.shape[1]
     if not len(model.sample) or wanted >= rows:
@@ -134,6 +145,7 @@ def _radii(codes: np.ndarray, model: CodeModel, rows: int, wanted: int) -> np.nd
     share = wanted / rows
     out = np.zeros(len(codes), int)
     z = _normal_quantile(share)
+    z = z if reach is None else max(z, reach)
     for i, code in enumerate(codes):
         apart = np.bitwise_count(model.sample ^ code).sum(axis=1)
         out[i] = int(np.ceil(max(apart.mean() + z * max(apart.std(), 1.0), 0)))
@@ -142,6 +154,57 @@ def _radii(codes: np.ndarray, model: CodeModel, rows: int, wanted: int) -> np.nd
     return np.minimum(out, bits)
 
 
+def _measure(rows: DataFrame, asked: pa.Table, model: CodeModel, k: int, recall: float) -> tuple[int, float | None]:
+    """Number of rows, and the reach (see ``_radii``) that covers ``recall`` of the ``k`` best rows of the queries ``asked``.
+
+    One pass: every task keeps k rows per query.
+    """
+    query_ids, y = asked.column("vec_id").to_numpy(), _matrix(asked.column("embedding"), model.dim)
+    codes = model.codes(y, False)
+    mean, deviation = _spread(codes, model) if len(codes) else (np.zeros(0), np.ones(0))
+    shared = rows.sparkSession.sparkContext.broadcast((model, query_ids, y, codes))
+
+    def run(batches):
+        m, own, y, codes = shared.value
+        n, at = 0, np.arange(len(own))[:, None]
+        score, ids, apart = np.zeros((len(own), 0)), np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0), np.int32)
+        for batch in batches:
+            n += len(batch)
+            here, x = batch.column(0).to_numpy(), _matrix(pa.chunked_array([batch.column(1)]), m.dim)
+            if not len(here) or not len(own):
+                continue
+            product = np.where(here == own[:, None], -np.inf, y @ x.T)
+            top = np.argpartition(-product, min(k, len(here)) - 1, axis=1)[:, :k]
+            stored = m.codes(x, True)
+            far = np.array([np.bitwise_count(stored[t] ^ c).sum(axis=1) for t, c in zip(top, codes, strict=True)])
+            score, ids = np.hstack([score, product[at, top]]), np.hstack([ids, here[top]])
+            apart = np.hstack([apart, far.astype(np.int32)])
+            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            score, ids, apart = score[at, best], ids[at, best], apart[at, best]
+        held = score > -np.inf
+        query = np.nonzero(held)[0]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.append(query, -1).astype(np.int32)),
+                pa.array(np.append(score[held], 0.0)),
+                pa.array(np.append(ids[held], n).astype(np.int64)),
+                pa.array(np.append(apart[held], 0).astype(np.int32)),
+            ],
+            ["q", "score", "id", "apart"],
+        )
+
+    found = rows.select("vec_id", "embedding").mapInArrow(run, "q int, score double, id long, apart int")
+    # the counts of the tasks (q = -1) are summed, of the others the best of all tasks stay
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    found = found.withColumn("rank", rank).filter((F.col("q") < 0) | (F.col("rank") <= k)).toArrow()
+    q, apart = found.column("q").to_numpy(), found.column("apart").to_numpy()
+    total = int(found.column("id").to_numpy()[q < 0].sum())
+    q, apart = q[q >= 0], apart[q >= 0]
+    if not len(q):
+        return total, None
+    return total, float(np.quantile((apart - mean[q]) / deviation[q], recall, method="higher"))
+
+
 def _normal_quantile(p: float) -> float:
     from statistics import NormalDist
 
@@ -163,7 +226,12 @@ def _usable(vectors: DataFrame) -> DataFrame:
 
 
 def nearest_vectors(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, wanted: int = 400, model: CodeModel | None = None
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int = 20,
+    wanted: int = 400,
+    model: CodeModel | None = None,
+    recall: float = 0.97,
 ) -> DataFrame:
     """For every query the ``k`` vectors of largest inner product that the index finds: query_id, rank, vec_id, score.
 
@@ -171,8 +239,10 @@ def nearest_vectors(
     by a query of its own id. The library has no vectors of its own records, so
     this is for any table of embeddings. Vectors that are null, zero, of an
     uncommon length or with a null or non-finite component take no part.
-    ``wanted`` codes are to lie within a query's radius, and it grows until a
-    block has given k, so every query has k rows or all there are. Nearest come
+    ``wanted`` codes at least are to lie within a query's radius, and ``recall``
+    of the true neighbours of a sample of the queries, which are compared with
+    all rows. A radius grows until a block has given k, so every query has k
+    rows or all there are. Nearest come
     first, ties in order of vec_id. Rows with equal ids and vectors are one row.
     Of equal vectors only the k + 1 smallest ids can be among the results, so
     the others are left out before blocks are made.
@@ -185,7 +255,10 @@ def nearest_vectors(
     same = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     rows = rows.distinct().withColumn("_same", same).filter(F.col("_same") <= k + 1).drop("_same")
     asked = _usable(queries).distinct().filter(F.size("embedding") == model.dim)
-    total, n_asked = rows.count(), asked.count()
+    n_asked = asked.count()
+    some = asked.withColumnRenamed("vec_id", "media_id")
+    some = some if n_asked <= MEASURED else draw(some, F.lit(MEASURED / n_asked))
+    total, reach = _measure(rows, some.select(F.col("media_id").alias("vec_id"), "embedding").toArrow(), model, k, recall)
     row_blocks, query_blocks = max(1, -(-total // ROWS)), max(1, -(-n_asked // QUERIES))
     shared = vectors.sparkSession.sparkContext.broadcast(model)
 
@@ -212,13 +285,17 @@ def nearest_vectors(
             query_ids, y = wished.column("query_id").to_numpy(), _matrix(wished.column("query"), m.dim)
             index = MultiIndex(m.codes(x, True))
             codes = m.codes(y, False)
-            for i, radius in enumerate(_radii(codes, m, total, wanted)):
-                while True:
+            for i, radius in enumerate(_radii(codes, m, total, wanted, reach)):
+                near, step = index.within(codes[i], int(radius)), 1
+                near = near[ids[near] != query_ids[i]]
+                while len(near) < k and radius < 8 * codes.shape[1]:
+                    radius, step = radius + step, 2 * step
                     near = index.within(codes[i], int(radius))
                     near = near[ids[near] != query_ids[i]]
-                    if len(near) >= k or radius >= 8 * codes.shape[1]:
-                        break
-                    radius += len(index.rows)
+                if step > 1 and len(near) > k:
+                    # the smallest radius that gives k
+                    apart = np.bitwise_count(index.codes[near] ^ codes[i]).sum(axis=1)
+                    near = near[apart <= np.partition(apart, k - 1)[k - 1]]
                 score = (x[near] * y[i]).sum(axis=1)
                 best = np.lexsort((ids[near], -score))[:k]
                 found.append((np.full(len(best), query_ids[i]), ids[near][best], score[best]))

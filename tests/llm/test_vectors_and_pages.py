@@ -79,6 +79,24 @@ def test_recall(spark):
     assert len({(r.query_id, r.vec_id) for r in got} & want) / len(want) >= 0.9
 
 
+def test_recall_does_not_fall_with_the_number_of_rows(spark):
+    import pyarrow as pa
+
+    x = np.random.default_rng(8).normal(size=(40_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x.astype(np.float32)
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 64), pa.int32()), pa.array(x.ravel()))
+    rows = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": flat}))
+    got = nearest_vectors(rows, rows.filter("vec_id % 200 = 0")).collect()
+    want = set()
+    for q in range(0, len(x), 200):
+        score = x.astype(float) @ x[q].astype(float)
+        score[q] = -2
+        want.update((q, int(v)) for v in np.argpartition(-score, 20)[:20])
+    assert len(got) == len(want) == 4000
+    assert len({(r.query_id, r.vec_id) for r in got} & want) / len(want) >= 0.95
+
+
 # --- pages --------------------------------------------------------------------
 
 
