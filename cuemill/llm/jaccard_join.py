@@ -15,8 +15,11 @@ the bound allows a link:
 3. Groups: among the classes of one n-gram, the one whose n-grams are most
    shared and one other lead. Classes are compared with their leaders, and links
    found make groups (connected components).
-4. Matrix: n-gram and group. Classes and groups that meet in a column are the
-   candidates; a group is held in slices of bounded size, each with its union.
+4. Matrix: n-gram and group. Two groups are candidates if they meet in a column
+   that can be the first n-gram of a link: of the smaller set at least
+   2 * 75 / 175 must lie from there on, so a passage that many sets share after
+   more than a seventh of their own brings none of them together. A group is held
+   in slices of bounded size, each with its union.
    A class is compared with the members of a slice only if the union holds
    ceil(0.75 n) of its n-grams.
 5. Links of both steps give the components.
@@ -50,6 +53,8 @@ _PART_BITS = 14
 _WANTED_BITS = 22
 # Members of a group, and queries, that one task holds at once.
 MEMBERS, QUERIES = 256, 1024
+# Meetings of groups in one column that one task writes.
+_MEETINGS = 1 << 20
 
 
 def ngram_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -259,6 +264,11 @@ def _may_link(n1, rest1, n2, rest2, percent: int):
     return shared * (100 + percent) >= (n1 + n2) * percent
 
 
+def _may_lead(n, rest, percent: int):
+    """A set of n can share enough with one of its size or larger, if this is the first n-gram that they share."""
+    return rest.cast("long") * (100 + percent) >= n.cast("long") * (2 * percent)
+
+
 def _enough(met, low, high, percent: int):
     """Sets of ``low`` to ``high`` n-grams may link if they meet in ``met`` columns of the matrix.
 
@@ -301,19 +311,28 @@ def _group_queries(columns: DataFrame, groups: DataFrame, percent: int) -> DataF
     """
     size = groups.groupBy("group").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
     side = groups.select("cls", "group").join(size, "group").select("cls", F.struct("members", "group", "low", "high").alias("g"))
-    rows = columns.select("token", "cls", "rest").join(side, "cls")
-    matrix = rows.groupBy("token", "g").agg(F.max("rest").alias("rest"))
-    met = matrix.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
-    matrix = matrix.join(met, "token")
+    rows = columns.select("token", "cls", "rest", _may_lead(F.col("n"), F.col("rest"), percent).alias("leads")).join(side, "cls")
+    matrix = rows.groupBy("token", "g").agg(F.max("rest").alias("rest"), F.max("leads").alias("leads"))
+    # at the first n-gram of a link the smaller set leads: columns in which no group has such a member bring no pair
+    met = matrix.groupBy("token").agg(F.count("*").alias("k"), F.count_if("leads").alias("leaders")).filter("k > 1 and leaders > 0")
+    shares = F.ceil(F.col("k") * F.col("leaders") / F.lit(_MEETINGS)).cast("int")
+    first = matrix.join(met.select("token", F.least(shares, "leaders").cast("int").alias("shares")), "token")
+    one = first.filter("leads").withColumn("share", F.pmod(F.xxhash64("g.group"), F.col("shares")).cast("int"))
+    one = one.select("token", "share", F.col("g").alias("one"), F.col("rest").alias("rest1"))
+    other = first.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    other = other.select("token", "share", F.col("g").alias("other"), F.col("rest").alias("rest2"), "leads")
+    near = _may_link(F.col("one.low"), F.col("rest1"), F.col("other.low"), F.col("rest2"), percent)
+    # two that both lead meet once
+    once = (F.col("one") < F.col("other")) | (~F.col("leads") & (F.col("one") != F.col("other")))
+    pairs = one.join(other, ["token", "share"]).filter(once & near)
     # every group with those that are larger: by members, then by id
-    left = matrix.select("token", F.col("g").alias("small"), F.col("rest").alias("rest1"))
-    right = matrix.select("token", F.col("g").alias("large"), F.col("rest").alias("rest2"))
-    near = _may_link(F.col("small.low"), F.col("rest1"), F.col("large.low"), F.col("rest2"), percent)
-    # every column that two groups share counts, but one must be possible as their first
-    pairs = left.join(right, "token").filter(F.col("small") < F.col("large"))
-    pairs = pairs.groupBy("small", "large").agg(F.count("*").alias("met"), F.max(near).alias("near"))
+    pairs = pairs.select(F.least("one", "other").alias("small"), F.greatest("one", "other").alias("large")).distinct()
+    # every column that two groups share counts
+    left = pairs.join(matrix.select(F.col("g").alias("small"), "token"), "small")
+    pairs = left.join(matrix.select(F.col("g").alias("large"), "token"), ["large", "token"])
+    pairs = pairs.groupBy("small", "large").agg(F.count("*").alias("met"))
     low, high = F.least("small.low", "large.low"), F.greatest("small.high", "large.high")
-    pairs = pairs.filter(F.col("near") & _enough(F.col("met"), low, high, percent))
+    pairs = pairs.filter(_enough(F.col("met"), low, high, percent))
     pairs = pairs.select(F.col("small.group").alias("small"), F.col("large.group").alias("group"))
     members = groups.select("cls", F.col("group").alias("small"))
     return pairs.join(members, "small").select("cls", "group")

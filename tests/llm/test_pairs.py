@@ -78,6 +78,50 @@ def test_jaccard_components(spark, crowd, monkeypatch, members, queries):
     assert sorted((r.media_id, r.n_shingles, r.component_id) for r in got) == sorted((k[0], *want[k]) for k in crowd)
 
 
+def joined_rows(df):
+    """Most rows that a join of the executed plan gave."""
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if "Join" in kind:
+                most = max(most, node.metrics().apply("numOutputRows").value())
+            todo += [node.children().apply(k) for k in range(node.children().size())]
+    return most
+
+
+def test_a_passage_of_many_brings_no_pairs_together(spark):
+    # 300 sets of 200 n-grams, 160 of them in all: the passage begins after 40 of their own
+    columns = [(t, k, 200, 160 - t) for k in range(300) for t in range(11)]
+    # two that share their rarest ones meet
+    columns += [(1000 + t, k, 200, 200 - t) for k in (0, 1) for t in range(40)]
+    columns = spark.createDataFrame(columns, "token long, cls long, n int, rest int")
+    groups = spark.createDataFrame([(k, 200, k) for k in range(300)], "cls long, n int, group long")
+    found = jaccard_join._group_queries(columns, groups, 75)
+    assert [(r.cls, r.group) for r in found.collect()] == [(0, 1)]
+    assert 0 < joined_rows(found) < 300 * 40
+
+
+@pytest.mark.parametrize("meetings", [1 << 20, 50])
+def test_components_around_a_common_passage(spark, monkeypatch, meetings):
+    monkeypatch.setattr(jaccard_join, "_MEETINGS", meetings)
+    rng = random.Random(11)
+    passage = talk(rng, 80)
+    rows = []
+    for k in range(120):
+        own = talk(rng, rng.randrange(6, 34))
+        at = rng.choice([0, len(own)])
+        rows.append((k, " ".join(own[:at] + passage + own[at:])))
+    got = jaccard_components(spark.createDataFrame(rows, TRANSCRIPT).repartition(3)).collect()
+    want = linked_components(rows)
+    assert sorted((r.media_id, r.n_shingles, r.component_id) for r in got) == sorted((k[0], *want[k]) for k in rows)
+
+
 def test_jaccard_without_rows_or_links(spark):
     none = jaccard_components(spark.createDataFrame([], TRANSCRIPT))
     assert none.columns == ["media_id", "n_shingles", "component_id"] and none.count() == 0
