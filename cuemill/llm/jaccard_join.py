@@ -49,7 +49,7 @@ from cuemill.session import cut
 # Counters of the sketch; more of them tell common n-grams apart at lower counts.
 SKETCH_BITS = 20
 _PART_BITS = 14
-# Bits of the table of wanted classes; when it fills up, more sets are made and then dropped by a join.
+# Bits of the table of wanted classes; when it fills up, more sets are made than are needed.
 _WANTED_BITS = 22
 # Members of a group, and queries, that one task holds at once.
 MEMBERS, QUERIES = 256, 1024
@@ -211,10 +211,11 @@ def _rarest(transcripts: DataFrame, n: int, percent: int, counts: np.ndarray) ->
 
 
 def _sets_of(transcripts: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """(cls, grams) for at least the classes ``wanted`` (cls, media_id): the n-gram set as bytes.
+    """(cls, grams) for at least the classes ``wanted`` (cls, media_id), one row each: the n-gram set as bytes.
 
     A bit table of fixed size, made of all wanted ids, spares making most other
-    sets; a class may come twice if other ids share its bits or its row is repeated.
+    sets. Copies whose ids share a wanted one's bits, and repeated rows, give the
+    same class again: each task keeps one of them, and one of all tasks stays.
     """
     spark = transcripts.sparkSession
     slot = F.xxhash64("media_id")
@@ -223,19 +224,22 @@ def _sets_of(transcripts: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = table.value
+        made: set[int] = set()
         for batch in batches:
             near = np.flatnonzero(holds(held, batch.column(0).to_numpy().view(np.uint64)))
-            grams = [g for _, g in ngram_sets(batch.column(1).take(pa.array(near)), n)]
+            cls, grams = [], []
+            for _, g in ngram_sets(batch.column(1).take(pa.array(near)), n):
+                here = set_id(g)
+                if here not in made:
+                    made.add(here)
+                    cls.append(here)
+                    grams.append(g.tobytes())
             if grams:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([set_id(g) for g in grams], pa.int64()),
-                        pa.array([g.tobytes() for g in grams], pa.binary()),
-                    ],
-                    ["cls", "grams"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(grams, pa.binary())], ["cls", "grams"])
 
-    return transcripts.select(slot.alias("s"), "text").mapInArrow(run, "cls long, grams binary")
+    sets = transcripts.select(slot.alias("s"), "text").mapInArrow(run, "cls long, grams binary")
+    # moved once by class, which the joins that follow need as well
+    return sets.repartition("cls").dropDuplicates(["cls"])
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

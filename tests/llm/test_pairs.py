@@ -122,6 +122,15 @@ def test_components_around_a_common_passage(spark, monkeypatch, meetings):
     assert sorted((r.media_id, r.n_shingles, r.component_id) for r in got) == sorted((k[0], *want[k]) for k in rows)
 
 
+def test_one_set_of_every_class(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "_WANTED_BITS", 3)
+    rows = [(k, "one text that many rows have word by word") for k in range(400)] + [(500, "some other text of six words")] * 2
+    df = spark.createDataFrame(rows, TRANSCRIPT).repartition(4)
+    wanted = spark.createDataFrame([(1, 0), (2, 500)], "cls long, media_id long")
+    cls = [r.cls for r in jaccard_join._sets_of(df, 5, wanted).collect()]
+    assert len(cls) == len(set(cls)) == 2
+
+
 def test_jaccard_without_rows_or_links(spark):
     none = jaccard_components(spark.createDataFrame([], TRANSCRIPT))
     assert none.columns == ["media_id", "n_shingles", "component_id"] and none.count() == 0
