@@ -117,6 +117,16 @@ def test_text_lines():
     assert text_lines("<p>a" + "<b>" * 5000 + "z</p>") == [("az", UNSURE)]
 
 
+def test_values_of_attributes_are_not_names():
+    page = """<article><p>See <a href="/hidden-gems">hidden gems</a>, <a href='/x?id=comments'>what they say</a>,
+    <a href=/list?class=menu>the list</a> and <a title="the hidden lake" data-state="hidden" data-id="share">the lake</a>.</p>
+    <p title="class = 'menu'" data-class="nav">Two</p><p title="a > b" hidden>gone</p><p class = menu>gone</p><p CLASS='x Share'>gone</p>
+    <p data-x= "1"aria-hidden="true">gone</p><p style="color:red;display: none">gone</p><p class="" id=three>Three</p></article>"""
+    assert [text for text, kind in text_lines(page) if kind == KEEP] == [
+        "See hidden gems, what they say, the list and the lake.", "Two", "Three",
+    ]
+
+
 def test_shared_lines(monkeypatch):
     def length(a, b):
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
