@@ -231,3 +231,100 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     weights = learn_url_weights(labelled_urls(spark))
     return judge_urls(table(spark, sf_dir, "pages"), weights).drop("score")
+
+
+@query()
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cuemill.llm.packing import pack_transcripts
+    from cuemill.llm.tokens import Vocabulary
+
+    found = pack_transcripts(transcripts(spark, sf_dir), Vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+    return found.select(F.col("media_id").alias("doc_id"), "piece", "start", F.col("length").cast("long"), "ids_crc32", "sequence_id", "offset")
+
+
+@query(
+    r"""
+with d as (
+  select row_number() over () as t, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents
+), asked as (
+  select i, item_id, unnest(w) as term from (
+    select row_number() over () as i, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+    from benchmark)
+), total as (
+  select count(*) as n_docs, sum(len(w)) as n_terms from d where len(w) > 0
+), held as (
+  select t, doc_id, term, count(*) as tf, any_value(n) as n
+  from (select t, doc_id, len(w) as n, unnest(w) as term from d) group by t, doc_id, term
+), df as (
+  select term, count(*) as df from held group by term
+), part as (
+  select t, doc_id, held.term,
+    cast(floor(1000 * ln(cast(2 * n_docs + 2 as double) / cast(2 * df + 1 as double))) as bigint)
+      * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + cast((25 * n * n_docs) // n_terms as bigint)))) as part
+  from held join df on df.term = held.term cross join total
+), scored as (
+  select i, item_id, t, doc_id, cast(sum(part) as bigint) as score
+  from (select i, item_id, term from asked) a join part on part.term = a.term group by i, item_id, t, doc_id
+), ranked as (
+  select *, row_number() over (partition by i order by score desc, doc_id) as rank from scored where score > 0
+)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 20
+"""
+)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuemill.llm.ranking import rank_transcripts
+
+    cues = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("cue_idx"), "text")
+    found = rank_transcripts(transcripts(spark, sf_dir), cues)
+    return found.withColumnsRenamed({"cue_idx": "item_id", "media_id": "doc_id"})
+
+
+@query(
+    r"""
+with d as (
+  select row_number() over () as t, coalesce(lang, 'und') as lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+  from documents
+), piece as (
+  select lang, regexp_extract_all(p, '[^\x20\x09]+') as w
+  from (select lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) as p from d)
+), total as (
+  select lang, cast(sum(len(w)) as bigint) as n from piece group by lang
+), place as (
+  select lang, w, n, unnest(generate_series(1, len(w) - n + 1)) as i
+  from piece, (values (1), (2), (3), (4)) as size(n) where len(w) >= n
+), f as (
+  select lang, n as size, array_to_string(w[i:i + n - 1], ' ') as phrase, count(*) as f
+  from place group by all having count(*) >= 30
+), c as (
+  select lang, phrase, size, f as a, string_split(phrase, ' ') as w from f where size > 1
+), cut as (
+  select lang, phrase, size, a, w, unnest(generate_series(1, size - 1)) as k from c
+), scored as (
+  select cut.lang, cut.phrase, a, k, x.f as l, y.f as r, cast((2000000 * a::hugeint) // (x.f + y.f) as bigint) as score
+  from cut join f x on x.lang = cut.lang and x.phrase = array_to_string(cut.w[1:k], ' ')
+    join f y on y.lang = cut.lang and y.phrase = array_to_string(cut.w[k + 1:], ' ')
+), best as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), inner_place as (
+  select lang, w, size, a, n, unnest(generate_series(1, size - n + 1)) as i
+  from c, (values (2), (3)) as s(n) where n < size
+), longer as (
+  select lang, array_to_string(w[i:i + n - 1], ' ') as phrase, max(a) as around from inner_place group by all
+), ranked as (
+  select best.*, row_number() over (partition by best.lang order by score desc, a desc, encode(best.phrase)) as rank
+  from best left join longer on longer.lang = best.lang and longer.phrase = best.phrase
+  where around is null or 100 * around < 80 * a
+)
+select ranked.lang, rank, phrase, a, l, r, n, score from ranked join total on total.lang = ranked.lang where rank <= 2000
+"""
+)
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cuemill.llm.phrases import mine_phrases
+
+    return mine_phrases(transcripts(spark, sf_dir)).withColumnRenamed("language", "lang")
