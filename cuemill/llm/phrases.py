@@ -29,9 +29,9 @@ from cuemill.llm.words import LOWER, fingerprints, mix, spans, windows
 
 LONGEST = 4
 # Counters of a hash partition's summary.
-CAPACITY = 1 << 20
+CAPACITY = 1 << 19
 # n-grams that a task counts before it sends them on, and phrases likewise.
-_GRAMS, _PHRASES = 1 << 22, 1 << 19
+_GRAMS, _PHRASES = 1 << 20, 1 << 18
 # Bits of the table of kept n-grams: so many for each, within these powers of two.
 _BITS_EACH, _LEAST_BITS, _MOST_BITS = 16, 20, 28
 # A fingerprint's low bits tell n-grams of a partition apart; those above choose the partition.
