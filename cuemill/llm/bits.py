@@ -14,7 +14,7 @@ def bit_table(rows: DataFrame, hashes: Column, bits: int) -> np.ndarray:
     pass ``holds``; the fuller the table, the more others pass as well.
     """
     slot = F.pmod(hashes, F.lit(1 << bits)).cast("int")
-    by_byte = rows.select(slot.alias("s")).distinct().groupBy(F.expr("s div 8").cast("int").alias("at"))
+    by_byte = rows.select(slot.alias("s")).groupBy(F.expr("s div 8").cast("int").alias("at"))
     found = by_byte.agg(F.expr("bit_or(cast(shiftleft(1, cast(s % 8 as int)) as int))").alias("v")).toArrow()
     table = np.zeros((1 << bits) // 8, np.uint8)
     if found.num_rows:

@@ -2,40 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from cuemill.session import cut
+from cuemill.llm.stored import stored
+
+# Links of one task that are contracted together.
+LINKS = 1 << 20
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of some links, and the smallest node that these links alone connect each with."""
+    nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    one, other = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[one], root[other]
+        if (x == y).all():
+            return nodes, nodes[root]
+        least = np.minimum(x, y)
+        np.minimum.at(root, x, least)
+        np.minimum.at(root, y, least)
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _forests(links: DataFrame) -> DataFrame:
+    """(node, root) of the links (a, b) of every task, in parts of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+
+        def contracted() -> pa.RecordBatch:
+            found = forest(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["node", "root"])
 
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            rows += batch.num_rows
+            if rows >= LINKS:
+                yield contracted()
+                held, rows = [], 0
+        if rows:
+            yield contracted()
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
+    return links.mapInArrow(run, "node long, root long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Links (a, b) -> (node, root): the smallest node reachable, for every node of a link.
+def components(links: DataFrame) -> DataFrame:
+    """Links (a, b) of long ids -> (node, root): the smallest node reachable, for every node of a link.
 
-    Large-star and small-star rounds, until all links point at a root. A node's
-    links are only ever reduced to their minimum and joined with it, never
-    gathered, so a node with very many links is a skewed join that Spark splits.
-    Every round is cut by a checkpoint. Links of a node with itself are ignored.
+    Every task replaces its links by a forest: nodes and their smallest node
+    there. A node with several such roots links these, and the components of
+    those links, of which there are fewer in each round, name the final root. Ids
+    should be hashes: in a chain, only nodes that are smaller than a neighbour go
+    on, and of random ones a third doesn't. A node with very many links has one
+    root for each part of a task, and its links are never gathered. Links of a node
+    with itself are ignored.
     """
-    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while (now := _state(edges)) != before:
-        before = now
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        edges = cut(
-            small.select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(small.select("a", F.col("m").alias("b")))
-            .filter("a <> b")
-            .distinct()
-        )
-    nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return nodes.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    seen = Observation()
+    found = _forests(links.filter("a <> b").select("a", "b")).groupBy("node")
+    found = found.agg(F.min("root").alias("root"), F.collect_set("root").alias("roots"))
+    parents = stored(found.observe(seen, F.count_if(F.size("roots") > 1).alias("open")))
+    if not seen.get["open"]:
+        return parents.select("node", "root")
+    more = parents.filter("size(roots) > 1").select(F.explode("roots").alias("a"), F.col("root").alias("b"))
+    above = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return parents.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))

@@ -36,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -43,8 +44,8 @@ from pyspark.sql.types import LongType
 from cuemill.llm.batches import slices, utf8
 from cuemill.llm.bits import bit_table, holds
 from cuemill.llm.graph import components
+from cuemill.llm.stored import stored
 from cuemill.llm.words import NOT_BLANK, mix, signed, whole, windows, words
-from cuemill.session import cut
 
 # Counters of the sketch; more of them tell common n-grams apart at lower counts.
 SKETCH_BITS = 20
@@ -159,14 +160,13 @@ def _squeezed(add):
     return run
 
 
-def _rarest(transcripts: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
+def _rarest(transcripts: DataFrame, n: int, percent: int, order: Broadcast) -> DataFrame:
     """(token, cls, n, rest): of every set the n-grams of which a linked set holds at least one.
 
     ``rest`` counts the n-gram and those after it in the corpus order: if it is
     the first one that two sets share, they share no more than either rest.
+    ``order`` has the count of every slot of the sketch.
     """
-    spark = transcripts.sparkSession
-    order = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.uint32))
     shift = np.uint64(64 - SKETCH_BITS)
     low = np.uint64(2**32 - 1)
 
@@ -210,17 +210,19 @@ def _rarest(transcripts: DataFrame, n: int, percent: int, counts: np.ndarray) ->
     return transcripts.select("text").mapInArrow(run, "token long, cls long, n int, rest int")
 
 
-def _sets_of(transcripts: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """(cls, grams) for at least the classes ``wanted`` (cls, media_id), one row each: the n-gram set as bytes.
+def _wanted(transcripts: DataFrame, wanted: DataFrame) -> Broadcast:
+    """A bit table of fixed size with the ids of the classes ``wanted`` (cls, media_id)."""
+    return transcripts.sparkSession.sparkContext.broadcast(bit_table(wanted, F.xxhash64("media_id"), _WANTED_BITS))
 
-    A bit table of fixed size, made of all wanted ids, spares making most other
+
+def _sets_of(transcripts: DataFrame, n: int, table: Broadcast) -> DataFrame:
+    """(cls, grams) for at least the classes wanted, one row each: the n-gram set as bytes.
+
+    A bit ``table`` of fixed size, made of all wanted ids, spares making most other
     sets. Copies whose ids share a wanted one's bits, and repeated rows, give the
     same class again: each task keeps one of them, and one of all tasks stays.
     """
-    spark = transcripts.sparkSession
     slot = F.xxhash64("media_id")
-    bits = bit_table(wanted, slot, _WANTED_BITS)
-    table = spark.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = table.value
@@ -403,33 +405,40 @@ def jaccard_components(transcripts: DataFrame, n: int = 5, percent: int = 75) ->
     have 64 bits: the chance that any two of a million sets are confused is about
     3e-8.
     """
-    rows = cut(_classes_and_counts(transcripts, n))
+    sc = transcripts.sparkSession.sparkContext
+    rows = stored(_classes_and_counts(transcripts, n))
     docs = rows.filter("part is null").select("media_id", "n_shingles", "cls")
     counts = _sketch(rows.filter("part is not null").select("part", "counts"))
     classes = docs.filter("cls is not null").groupBy("cls").agg(F.min("media_id").alias("media_id"))
 
-    rare = _rarest(transcripts, n, percent, counts).repartition("token")
+    # broadcasts are given back once what was made with them is stored
+    order = sc.broadcast(np.minimum(counts, 2**31 - 1).astype(np.uint32))
+    rare = _rarest(transcripts, n, percent, order).repartition("token")
     # all columns are read, so that the exchange of rare serves both sides
     held = rare.groupBy("token").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.max(F.col("n") + F.col("rest")).alias("z"))
     held = held.filter("x <> y and z > 0").select("token")
-    columns = cut(rare.join(held, "token").distinct())
+    columns = stored(rare.join(held, "token").distinct())
+    order.destroy()
 
-    pairs = cut(_leader_pairs(columns, percent))
+    pairs = stored(_leader_pairs(columns, percent))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    links = cut(_check_pairs(pairs, _sets_of(transcripts, n, ends.join(classes, "cls")), percent).distinct())
-    led = components(links)
+    table = _wanted(transcripts, ends.join(classes, "cls"))
+    led = components(_check_pairs(pairs, _sets_of(transcripts, n, table), percent))
+    table.destroy()
     groups = columns.select("cls", "n").distinct().join(led.withColumnRenamed("node", "cls"), "cls", "left")
-    groups = cut(groups.select("cls", "n", F.coalesce("root", "cls").alias("group")))
+    groups = stored(groups.select("cls", "n", F.coalesce("root", "cls").alias("group")))
 
-    queries = cut(_group_queries(columns, groups, percent))
+    queries = stored(_group_queries(columns, groups, percent))
     opened = groups.join(queries.select("group").distinct(), "group").select("cls", "group")
     ends = queries.select("cls").union(opened.select("cls")).distinct()
-    more = _open_groups(queries, opened, _sets_of(transcripts, n, ends.join(classes, "cls")), percent)
+    table = _wanted(transcripts, ends.join(classes, "cls"))
+    more = _open_groups(queries, opened, _sets_of(transcripts, n, table), percent)
 
     # groups are nodes now: the first links are in them already
     ends = more.join(groups.select(F.col("cls").alias("a"), F.col("group").alias("g")), "a")
     ends = ends.join(groups.select(F.col("cls").alias("b"), F.col("group").alias("h")), "b")
     merged = components(ends.select(F.col("g").alias("a"), F.col("h").alias("b")))
+    table.destroy()
     final = groups.join(merged.withColumnRenamed("node", "group"), "group", "left")
     final = final.select("cls", F.coalesce("root", "group").alias("root"))
 

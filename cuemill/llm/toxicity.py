@@ -149,10 +149,14 @@ def _contexts(labelled: DataFrame) -> DataFrame:
     return rows.groupBy("toxic", "word").agg(F.count("*").alias("uses"))
 
 
+def _summed(keys: np.ndarray, bad: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at, bad, len(keys)), np.bincount(at, good, len(keys))
+
+
 def _odds(keys: np.ndarray, bad: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and their scores: log-odds drawn towards 0 by CAUTION standard errors, less the drift."""
-    keys, at = np.unique(keys, return_inverse=True)
-    bad, good = np.bincount(at, bad, len(keys)), np.bincount(at, good, len(keys))
+    keys, bad, good = _summed(keys, bad, good)
     n_bad, n_good = bad.sum() + PRIOR * (len(keys) + 1), good.sum() + PRIOR * (len(keys) + 1)
     odds = np.log((bad + PRIOR) / (n_bad - bad)) - np.log((good + PRIOR) / (n_good - good))
     error = CAUTION * np.sqrt(1 / (bad + PRIOR) + 1 / (good + PRIOR))
@@ -165,7 +169,8 @@ def _word_model(counts: pa.Table) -> ToxicityModel:
     starts, ends = offsets[:-1], offsets[1:]
     bad, good = np.where(toxic == 1, uses, 0), np.where(toxic == 1, 0, uses)
     words, word_scores = _odds(fingerprints(raw, starts, ends), bad, good)
-    found = [(stems, bad[longer], good[longer]) for longer, stems in _stems(raw, starts, ends)]
+    # one size after the other, so that the driver holds one size's words at a time
+    found = [_summed(stems, bad[longer], good[longer]) for longer, stems in _stems(raw, starts, ends)]
     stems, stem_scores = _odds(*(np.concatenate(c) for c in zip(*found, strict=True)))
     # those that score as unknown ones do need no entry
     told, stem_told = np.abs(word_scores + DRIFT) > 1e-6, stem_scores + DRIFT > 1e-6

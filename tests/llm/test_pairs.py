@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cuemill.llm import jaccard_join
+from cuemill.llm import graph, jaccard_join
 from cuemill.llm.decontaminate import find_contamination
 from cuemill.llm.graph import components
 from cuemill.llm.jaccard_join import jaccard_components
@@ -127,7 +127,7 @@ def test_one_set_of_every_class(spark, monkeypatch):
     rows = [(k, "one text that many rows have word by word") for k in range(400)] + [(500, "some other text of six words")] * 2
     df = spark.createDataFrame(rows, TRANSCRIPT).repartition(4)
     wanted = spark.createDataFrame([(1, 0), (2, 500)], "cls long, media_id long")
-    cls = [r.cls for r in jaccard_join._sets_of(df, 5, wanted).collect()]
+    cls = [r.cls for r in jaccard_join._sets_of(df, 5, jaccard_join._wanted(df, wanted)).collect()]
     assert len(cls) == len(set(cls)) == 2
 
 
@@ -138,6 +138,28 @@ def test_jaccard_without_rows_or_links(spark):
     assert {(r.media_id, r.n_shingles, r.component_id) for r in got} == {(2, 1, 2), (1, 0, 1), (None, 1, None)}
 
 
+@pytest.mark.parametrize("held", [1, 7, 1000])
+def test_components_in_rounds(spark, monkeypatch, held):
+    """Links of a task contracted few at a time: the same as all at once."""
+    monkeypatch.setattr(graph, "LINKS", held)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    rng = random.Random(held)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)] + [(5, k) for k in range(400, 450)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    try:
+        got = components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in {x for a, b in edges if a != b for x in (a, b)})
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(7, 7), (300, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
