@@ -113,7 +113,8 @@ def find_contamination(transcripts: DataFrame, items: DataFrame) -> DataFrame:
     nine words; ``hits`` are the word ranges (from, to) found, ``n_hit`` the words
     inside any of them, ``item_ids`` the items with a window there. Null or empty
     texts have no words and no hits; empty items have no window; without items
-    nothing is hit. Rows with an equal media_id stay separate rows. Test items
+    nothing is hit. Items with a null item_id count as one item, null among
+    ``item_ids``. Rows with an equal media_id stay separate rows. Test items
     are not taken to be few: a table of fixed size keeps back transcript
     fingerprints that no item has, and the rest are joined.
     """
@@ -155,7 +156,7 @@ def find_contamination(transcripts: DataFrame, items: DataFrame) -> DataFrame:
     own = F.array(F.struct(key, F.lit(0), F.lit(0), *[F.lit(1).cast("long")] * 4).cast(_HIT))
     rows = rows.select("media_id", "n_words", "text_key", F.explode(F.concat(own, "found")).alias("f"))
     rows = rows.select("media_id", "n_words", "text_key", "f.*")
-    tests = prints.select("hash", "span", "item_id", *[F.col(c).alias(f"i_{c}") for c in ("b1", "b2", "a1", "a2")])
+    tests = prints.select("hash", "span", "item_id", F.lit(True).alias("known"), *[F.col(c).alias(f"i_{c}") for c in ("b1", "b2", "a1", "a2")])
     rows = rows.join(tests, ["hash", "span"], "left")
 
     def reach(first, second):
@@ -164,20 +165,20 @@ def find_contamination(transcripts: DataFrame, items: DataFrame) -> DataFrame:
 
     back, on = reach("b1", "b2"), reach("a1", "a2")
     full = F.col("span") == WINDOW
-    found = F.col("item_id").isNotNull() & (~full | (back + on >= _REACH))
+    found = F.col("known") & (~full | (back + on >= _REACH))
     low = F.when(full, F.col("at") - back).otherwise(F.col("at"))
     high = F.when(full, F.col("at") + GRAM + on).otherwise(F.col("at") + F.col("span"))
     rows = rows.groupBy("media_id", "n_words", "text_key").agg(
         F.sum(F.when(F.col("span") == 0, 1)).alias("copies"),
         F.collect_set(F.when(found, F.struct(low.alias("from"), high.alias("to")))).alias("hits"),
-        F.collect_set(F.when(found, F.col("item_id"))).alias("item_ids"),
+        F.collect_set(F.when(found, F.struct("item_id"))).alias("items"),
     )
     inside = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["from"], h["to"] - 1))))
     return rows.select(
         "media_id",
         "n_words",
         F.size(inside).cast("long").alias("n_hit"),
-        "item_ids",
+        F.transform("items", lambda x: x["item_id"]).alias("item_ids"),
         F.array_sort("hits").alias("hits"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
     ).drop("_copy")

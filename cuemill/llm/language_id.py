@@ -24,6 +24,8 @@ from cuemill.llm.sampling import draw
 ORDER = 4
 # More languages than this are an error, since a model holds a tree for each.
 LANGUAGES = 1_000
+# Transcripts of a language expected in its sample, below which one of them is kept in any case.
+_FEW = 20
 # Positions coded at once.
 _STRIDE = 1 << 18
 
@@ -174,20 +176,33 @@ def learn_languages(labelled: DataFrame, sample_bytes: int = 2_000_000) -> Langu
     """Model from transcripts (media_id, text, language) whose language is known.
 
     Rows without a text or language are left out. ``sample_bytes`` bounds the
-    text that is read per language, on average, by drawing whole transcripts;
+    text that is read per language, on average, by drawing whole transcripts, one
+    at least of every language, however long its transcripts are;
     windows are counted in Spark, and the counts of that bounded text reach the
     driver. Without rows there are no languages; more than LANGUAGES raise
     ValueError.
     """
     rows = labelled.filter("text is not null and language is not null").select("media_id", "text", "language")
-    sizes = rows.groupBy("language").agg(F.sum(F.octet_length("text")).alias("n")).limit(LANGUAGES + 1).collect()
+    mark = F.xxhash64(F.lit(19), "media_id", "text")
+    sizes = rows.groupBy("language").agg(
+        F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows"), F.min(mark).alias("least")
+    )
+    sizes = sizes.limit(LANGUAGES + 1).collect()
     if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages to learn")
     share = rows.sparkSession.createDataFrame(
         [(r["language"], sample_bytes / max(r["n"], 1)) for r in sizes], "language string, share double"
     )
     # a row per language, so at most LANGUAGES: rows with text needn't be shuffled to meet it
-    drawn = draw(rows.join(F.broadcast(share), "language"), F.col("share"))
+    drawn = draw(rows.join(F.broadcast(share), "language"), F.col("share")).drop("share")
+    few = [(r["language"], r["least"]) for r in sizes if r["n"] > sample_bytes and r["rows"] * sample_bytes < _FEW * r["n"]]
+    if few:
+        # of a few long texts perhaps none is drawn: one of them is always there
+        least = F.broadcast(rows.sparkSession.createDataFrame(few, "language string, least long"))
+        marked = rows.withColumn("mark", mark)
+        first = marked.join(least, "language").filter("mark = least").dropDuplicates(["language"])
+        drawn = drawn.withColumn("mark", mark).join(least, "language", "left").filter("least is null or mark <> least")
+        drawn = drawn.select("media_id", "text", "language").union(first.select("media_id", "text", "language"))
     counts = _counts(drawn).toArrow()
     language, size = counts.column("language").to_numpy(), counts.column("size").to_numpy()
     gram, n = counts.column("gram").to_numpy().view(np.uint64), counts.column("n").to_numpy()

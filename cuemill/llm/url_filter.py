@@ -16,7 +16,7 @@ from cuemill.functions.arrays import let
 from cuemill.llm.page_text import host_of, path_of
 
 BUCKETS = 4096
-STEPS, RATE, DECAY = 300, 4.0, 0.001
+STEPS, RATE, DECAY = 150, 8.0, 0.001
 
 
 @dataclass(frozen=True)
@@ -43,29 +43,59 @@ RULES = (
 # The labelled table: addresses made up for training, 1 for those to block.
 LABELLED_URLS = (
     ("http://www.casino-royal.test/en/12", 1),
-    ("https://casino-win.test/slots", 1),
     ("https://online-casino.test/de/bonus", 1),
     ("http://m.casino-jackpot.test/1", 1),
-    ("http://free-bets.test/en/7", 1),
     ("https://www.best-bets.test/fr/tips", 1),
     ("http://bets-today.test/", 1),
     ("https://blog.free-spins.test/es/88", 1),
-    ("http://cheap-pills.test/en/4", 1),
     ("https://www.cheap-meds.test/buy", 1),
     ("http://pills-online.test/es/order", 1),
     ("http://m.diet-pills.test/en/3", 1),
-    ("http://spam-farm.test/en/1", 1),
     ("https://link-farm.test/fr/22", 1),
     ("https://www.spam-mails.test/list", 1),
     ("http://content-farm.test/de/90", 1),
-    ("https://ads-track.test/en/pixel", 1),
     ("http://www.track-ads.test/click", 1),
     ("https://ads-server.test/fr/5", 1),
     ("http://m.popup-ads.test/en/6", 1),
-    ("http://adult-x.test/en/18", 1),
     ("https://www.adult-cams.test/fr/live", 1),
     ("http://xxx-adult.test/es/2", 1),
     ("https://adult-chat.test/de/9", 1),
+    ("http://casino-lucky.test/en/3", 1),
+    ("https://my-casino.test/es/wheel", 1),
+    ("http://www.casinos.test/fr/1", 1),
+    ("https://big-win.test/de/now", 1),
+    ("http://winbig.test/en/44", 1),
+    ("https://poker-win.test/fr/deal", 1),
+    ("http://slots-win.test/es/6", 1),
+    ("https://free-poker.test/en/2", 1),
+    ("http://free-cash.test/de/13", 1),
+    ("https://m.freeporn.test/fr/8", 1),
+    ("http://sport-bets.test/en/odds", 1),
+    ("https://live-betting.test/es/51", 1),
+    ("http://cheap-viagra.test/fr/2", 1),
+    ("https://cheap-loans.test/en/70", 1),
+    ("http://www.cheaprolex.test/de/5", 1),
+    ("https://buy-pills.test/fr/1", 1),
+    ("http://sleeping-pills.test/en/9", 1),
+    ("https://pill-shop.test/de/33", 1),
+    ("http://spam-list.test/fr/4", 1),
+    ("https://bulk-spam.test/en/87", 1),
+    ("http://spammers.test/de/1", 1),
+    ("https://click-farm.test/es/3", 1),
+    ("http://like-farm.test/en/19", 1),
+    ("https://farm-links.test/fr/6", 1),
+    ("http://ads-network.test/de/2", 1),
+    ("https://best-ads.test/es/71", 1),
+    ("http://adserver.test/en/1", 1),
+    ("https://tracker.test/fr/px", 1),
+    ("http://pixel-track.test/es/5", 1),
+    ("https://click-track.test/en/4", 1),
+    ("http://adult-movies.test/en/2", 1),
+    ("https://www.adultdating.test/de/11", 1),
+    ("http://adults-only.test/es/8", 1),
+    ("https://sex-x.test/fr/9", 1),
+    ("http://x-videos.test/en/3", 1),
+    ("https://hot-x.test/de/12", 1),
     ("http://www.city-library.test/en/12", 0),
     ("https://blog.garden-notes.test/de/31", 0),
     ("https://weather.test/fr/today", 0),
@@ -90,6 +120,20 @@ LABELLED_URLS = (
     ("http://www.thinking.test/en/9", 0),
     ("https://blog.rebuild.test/en/853", 0),
     ("http://mountains.test/de/252", 0),
+    ("http://catalogue.test/en/31", 0),
+    ("http://freedom-archive.test/de/8", 0),
+    ("https://better-health.test/en/64", 0),
+    ("https://education.test/es/61", 0),
+    ("http://chess-club.test/en/500", 0),
+    ("https://www.poems.test/fr/81", 0),
+    ("http://mythology.test/fr/7", 0),
+    ("https://the-fourth-month.test/en/51", 0),
+    ("http://width-and-height.test/de/4", 0),
+    ("https://north-theatre.test/es/18", 0),
+    ("http://thatched-houses.test/en/6", 0),
+    ("https://growth-of-cities.test/fr/35", 0),
+    ("http://both-banks.test/de/72", 0),
+    ("https://truth-and-method.test/en/28", 0),
 )
 
 

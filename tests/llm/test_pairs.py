@@ -225,3 +225,10 @@ def test_every_long_shared_span_has_a_common_fingerprint():
     place = _fingerprints(part, np.array([0, 10]))
     assert len(place) == 1 and 1000 + int(place[0]) in chosen
     assert (windows(part, GRAM)[place] == windows(w, GRAM)[1000 + place]).all()
+
+
+def test_contamination_by_items_without_id(spark):
+    docs = spark.createDataFrame([(1, "x one two three y"), (2, "none here")], TRANSCRIPT)
+    items = spark.createDataFrame([(None, "One two"), (None, "three"), (4, "two three")], "item_id long, text string")
+    got = {r.media_id: (r.n_hit, sorted(map(repr, r.item_ids))) for r in find_contamination(docs, items).collect()}
+    assert got == {1: (3, ["4", "None"]), 2: (0, [])}

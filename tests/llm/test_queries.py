@@ -97,3 +97,16 @@ def test_stages_on_odd_rows(spark):
         for name, stage in corpus_pipeline.STAGES:
             kept = stage(spark, given, SF).count()
             assert kept == (0 if given is not docs else 4 if name == "jaccard_join" else 5)
+
+
+def test_stages_with_null_and_repeated_ids(spark):
+    """Decisions hold for texts and rows, not for ids."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    clean, other = "wide river stone walk tall sun rain door blue hill", "some quite different words that stand under the same id"
+    rows = [(None, item), (1, item), (1, clean), (2, clean + " again"), (None, clean), (None, clean), (5, other), (5, clean), (6, " "), (6, " ")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_contaminated(spark, docs, SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(rows[2:], key=repr)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    want = [(1, item), (1, clean), (5, other), (6, " "), (6, " ")]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(want, key=repr)

@@ -238,3 +238,12 @@ def test_decoding_of_any_ids(spark):
     df = spark.createDataFrame([(k, ids) for k, ids in enumerate(lists)] + [(9, None)], "media_id long, token_ids array<int>")
     got = {r.media_id: r.text for r in decode_transcripts(df, pieces).collect()}
     assert got == {**{k: library.decode(ids) for k, ids in enumerate(lists)}, 9: ""}
+
+
+def test_a_language_of_few_long_texts_is_learned(spark):
+    rng = random.Random(4)
+    long = [" ".join(rng.choice(["über", "straße", "nicht", "schön", "wäre", "zwölf"]) for _ in range(3000)) for _ in range(3)]
+    rows = [(k, t, "de") for k, t in enumerate(long)] + [(10 + k, "the quick words of the other one " * 3, "en") for k in range(60)]
+    df = spark.createDataFrame(rows, "media_id long, text string, language string").selectExpr("*", "1 as mark", "2 as least")
+    for bound in (100, 1_000, 2_000_000):
+        assert learn_languages(df, bound).languages == ["de", "en"]

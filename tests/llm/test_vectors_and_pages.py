@@ -229,3 +229,14 @@ def test_no_python_on_the_way(spark):
 
     plan = QUERIES["op8_url_filter"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_urls_of_unseen_names(spark):
+    """No name of the given pages is among the labels; still most of the unwanted hosts are told from the others."""
+    unwanted = ["casino-win", "free-bets", "cheap-pills", "spam-farm", "ads-track", "adult-x"]
+    assert not any(name in r.url for name in unwanted for r in labelled_urls(spark).collect())
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    judged = judge_urls(pages, learn_url_weights(labelled_urls(spark)), rules=()).collect()
+    bad = [r.verdict == "block" for r in judged if any(name in r.host for name in unwanted)]
+    good = [r.verdict == "block" for r in judged if not any(name in r.host for name in unwanted)]
+    assert sum(bad) >= 0.7 * len(bad) > 0 and sum(good) <= 0.02 * len(good)
