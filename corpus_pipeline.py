@@ -40,21 +40,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of documents that links hold together, the one of smallest id; repeated rows of it once.
+    """Of every group of documents that links hold together, the one of smallest id (null last); repeated rows of it once.
 
-    Documents without a word are no copies of each other and stay.
+    A document is an id and a text: different texts under one id, or under none,
+    are documents of their own. Rows without a word are no copies and all stay.
     """
-    found = jaccard_components(_transcripts(docs))
-    first = found.filter("media_id = component_id or media_id is null").select(F.col("media_id").alias("doc_id")).distinct()
-    kept = docs.join(first.filter("doc_id is not null"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.filter("doc_id is null").select(kept.columns)).select(*COLUMNS)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"))
+    rows = docs.withColumn("key", key)
+    found = jaccard_components(rows.select(F.col("key").alias("media_id"), "text"))
+    first = found.filter("media_id = component_id").select(F.col("media_id").alias("key"), "n_shingles").distinct()
+    each = F.when(F.col("n_shingles") == 0, F.monotonically_increasing_id())
+    return rows.join(first, "key").withColumn("each", each).dropDuplicates(["key", "each"]).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark text stands."""
-    found = find_contamination(_transcripts(docs), table(spark, sf_dir, "benchmark"))
-    hit = found.filter("n_hit > 0").select(F.col("media_id").alias("doc_id"))
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents in which no window of a benchmark text stands; what is found in a text holds for all rows with it."""
+    key = F.md5("text")
+    found = find_contamination(docs.select(key.alias("media_id"), "text"), table(spark, sf_dir, "benchmark"))
+    hit = found.filter("n_hit > 0").select(F.col("media_id").alias("key"))
+    return docs.withColumn("key", key).join(hit, "key", "left_anti").select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
