@@ -100,24 +100,6 @@ def minimum_duration(spark, sf):
     return ops.min_duration(cues)
 
 
-@query("""
-  with timed as (
-    select *, greatest(end_ms - start_ms, 1500, 400 * n_words) as len from segs where length(text) <= 84
-  )
-  select media_id, cast(seg_idx as integer) as seg_idx, 0 as part, start_ms, start_ms + least(greatest(len, 500), 7000) as end_ms,
-         text
-  from timed where length(text) <= 42
-""")
-def short_segment_cues(spark, sf):
-    segments = fx.plain_segments(spark, sf).filter("length(text) <= 42")
-    return ops.segment_cues(segments)
-
-
-@query()
-def estimated_cues(spark, sf):
-    return ops.segment_cues(fx.plain_segments(spark, sf))
-
-
 # caption texts of every segment: words are packed one after the other
 _PACKED = """
   seg_words as (
@@ -165,8 +147,9 @@ def _caption_texts(spark, sf):
     return segments.select("media_id", "seg_idx", F.posexplode(pack_captions(F.col("text"))).alias("part", "text"))
 
 
-@query(f"""
-  with {_PACKED}, {_PLACES},
+# caption texts on two lines, as even as they can be
+_BALANCED = f"""
+  {_PACKED}, {_PLACES},
   best as (
     select media_id, seg_idx, part, min((abs(first_len - second_len), place)) as pick
     from places2 where first_len <= 42 and second_len <= 42 group by 1, 2, 3
@@ -176,16 +159,48 @@ def _caption_texts(spark, sf):
   ), chosen as (
     select c.*, coalesce(b.pick[2], h.place) as cut_at
     from captions c left join best b using (media_id, seg_idx, part) left join half h using (media_id, seg_idx, part)
+  ), balanced as (
+    select media_id, cast(seg_idx as integer) as seg_idx, cast(part as integer) as part,
+           case when length(text) <= 42 or cut_at is null then text
+                else left(text, cut_at - 1) || '\\N' || substr(text, cut_at + 1) end as text
+    from chosen
   )
-  select media_id, cast(seg_idx as integer) as seg_idx, cast(part as integer) as part,
-         case when length(text) <= 42 or cut_at is null then text
-              else left(text, cut_at - 1) || '\\N' || substr(text, cut_at + 1) end as text
-  from chosen
-""", recursive=True)
+"""
+
+
+@query(f"with {_BALANCED} select * from balanced", recursive=True)
 def balanced_captions(spark, sf):
     return _caption_texts(spark, sf).withColumn("text", balanced_lines(F.col("text")))
 
 
+def _timed(least, most):
+    """Segment times shared among the segment's caption texts."""
+    return f"""
+  with {_BALANCED}, timed as (
+    select media_id, cast(seg_idx as integer) as seg_idx, start_ms, greatest(end_ms - start_ms, 1500, 400 * n_words) as len from segs
+  ), shared as (
+    select b.*, t.start_ms as first_ms, len, n, least(greatest(len // n, {least}), {most}) as share
+    from balanced b join timed t using (media_id, seg_idx)
+      join (select media_id, seg_idx, count(*) as n from balanced group by 1, 2) using (media_id, seg_idx)
+  )
+  select media_id, seg_idx, part, first_ms + part * share as start_ms,
+         case when n = 1 then first_ms + least(greatest(len, {least}), {most})
+              when part = n - 1 then first_ms + len
+              else least(first_ms + (part + 1) * share, first_ms + len) end as end_ms, text
+  from shared"""
+
+
+@query(_timed(500, 7000), recursive=True)
+def estimated_cues(spark, sf):
+    return ops.segment_cues(fx.plain_segments(spark, sf))
+
+
+@query(_timed(800, 2500), recursive=True)
+def short_segment_cues(spark, sf):
+    """Cues of all segments, none but the last of a segment longer than 2.5 s."""
+    return ops.segment_cues(fx.plain_segments(spark, sf), min_ms=800, max_ms=2500)
+
+
 @query(f"""
   with {_PACKED}, {_PLACES},
   best as (

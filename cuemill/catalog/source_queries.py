@@ -84,6 +84,19 @@ def parsed_vtt(spark, sf):
     return captions.parse_captions(_files(spark, sf, "vtt"), "vtt")
 
 
+@query(_READ)
+def parsed_vtt_blocks(spark, sf):
+    """Files with a head of several lines, styles, named cues and notes between them."""
+    cues = captions.caption_lines(_cues(spark, sf), ["vtt"]).filter("cue_idx >= 0")
+    cue = F.concat(F.lit("cue "), "cue_idx", F.lit("\n"), F.regexp_replace("value", r"^\d+\n", ""))
+    note = F.when(F.col("cue_idx") % 3 == 0, F.lit("\nNOTE said\nby nobody\n")).otherwise("")
+    lines = cues.groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("cue_idx", F.concat(cue, note).alias("value")))).alias("lines"))
+    head = F.lit("WEBVTT - of words\nKind: captions\n\nSTYLE\n::cue { color: red }\n\nNOTE\nbefore the first\n\n")
+    content = F.concat(head, F.array_join("lines.value", "\n"))
+    files = lines.select(F.concat(F.lit("m"), "media_id").alias("file"), content.alias("content"))
+    return captions.parse_captions(files, "vtt")
+
+
 @query("""
   select 'm' || media_id as file, cast(seq as integer) as cue_idx, start_ms // 10 * 10 as start_ms, end_ms // 10 * 10 as end_ms,
          word || chr(10) || word as text, 'Default' as style
@@ -106,12 +119,37 @@ _HEAD_LINES = captions._ASS_HEAD.split("\n")
        (values {", ".join(f"({k}, '{line}')" for k, line in enumerate(_HEAD_LINES))}) as h(line_idx, value)
 """)
 def retexted_ass(spark, sf):
-    new = fx.words(spark, sf).filter("word <> 'um'").select(
+    return captions.retext(_files(spark, sf, "ass"), _new_texts(spark, sf), "ass")
+
+
+def _new_texts(spark, sf):
+    return fx.words(spark, sf).filter("word <> 'um'").select(
         F.concat(F.lit("m"), "media_id").alias("file"),
         F.col("seq").cast("int").alias("cue_idx"),
         F.concat("word", F.lit("!\nx")).alias("text"),
     )
-    return captions.retext(_files(spark, sf, "ass"), new, "ass")
+
+
+def _renumbered(mark):
+    start, end = (_STAMP.format(mark=mark, t=t) for t in ("start_ms", "end_ms"))
+    return f"""
+  select 'm' || media_id as file, cast(n as integer) as line_idx, cast(n - 1 as integer) as cue_idx,
+         cast(n as varchar) || chr(10) || {start} || ' --> ' || {end} || chr(10) || word || '!' || chr(10) || 'x' || chr(10) as value
+  from (select *, row_number() over (partition by media_id order by seq) as n from words where word <> 'um')"""
+
+
+@query(_renumbered(","))
+def retexted_srt(spark, sf):
+    return captions.retext(_files(spark, sf, "srt"), _new_texts(spark, sf), "srt").withColumn("cue_idx", F.col("cue_idx").cast("int"))
+
+
+@query(
+    _renumbered(".")
+    + f"""
+  union all select 'm' || media_id, 0, -1, '{captions._HEADS["vtt"]}' from (select distinct media_id from words where word <> 'um')"""
+)
+def retexted_vtt(spark, sf):
+    return captions.retext(_files(spark, sf, "vtt"), _new_texts(spark, sf), "vtt").withColumn("cue_idx", F.col("cue_idx").cast("int"))
 
 
 @query(r"""

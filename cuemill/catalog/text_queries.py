@@ -319,6 +319,23 @@ def overlap_statistics(spark, sf):
     return overlap_stats(find_overlaps(fx.chunk_texts(spark, sf), fx.chunks(spark, sf), scorer="exact"))
 
 
+@query(f"""
+  with {_EXACT}, ends as (
+    select media_id, chunk_idx, n, array_to_string(list_slice(before, len(before) - n + 1, len(before)), ' ') as l,
+           array_to_string(list_slice(k, 1, n), ' ') as r
+    from (select *, unnest(range(3, least(50, len(k), len(before)) + 1)) as n from pairs where before is not null)
+  ), best as (
+    select media_id, chunk_idx, min((-(greatest(length(l), length(r)) - levenshtein(l, r)) / greatest(length(l), length(r)), n)) as pick
+    from ends group by all
+  )
+  select media_id, chunk_idx,
+         cast(case when not shares then 0 when removed > 0 then removed when -pick[1] > 0.8 then pick[2] else 0 end as integer) as removed
+  from cuts left join best using (media_id, chunk_idx)
+""")
+def edited_overlaps(spark, sf):
+    return find_overlaps(fx.chunk_texts(spark, sf), fx.chunks(spark, sf), scorer="levenshtein")
+
+
 @query()
 def fuzzy_overlaps(spark, sf):
     return find_overlaps(fx.chunk_texts(spark, sf), fx.chunks(spark, sf))
