@@ -222,7 +222,8 @@ def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cuemill.llm.page_text import page_texts
 
     found = page_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    n_chars = F.length("text").cast("long").alias("n_chars")
+    return found.select("page_id", "url", "text", n_chars, "lines", "shared", "restored", "marked")
 
 
 @query()

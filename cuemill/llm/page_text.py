@@ -1,11 +1,12 @@
 """Main text of web pages by differencing with the page of the nearest address.
 
 Pages of a host are put in order of their paths; a page's partner is the
-neighbour whose path shares more characters with its own. The text lines of both
-are aligned by their longest common subsequence, and lines that both have are
-what the site repeats: they go. Where the markup itself says what a line is, it
-has the last word: lines inside an article stay even if the partner is a copy,
-and menus, notices, forms and the like go even if they differ.
+neighbour whose path shares more characters with its own, pages with all the
+same lines being one. The text lines of both are aligned by their longest common
+subsequence, and lines that both have are what the site repeats: alignment
+proposes to delete them. Then the markup is asked about each line: inside an
+article a proposal is turned down, since the partner may be a copy, and lines of
+menus, notices, forms and the like go even where the partner has others.
 """
 
 from __future__ import annotations
@@ -45,6 +46,13 @@ _MARKS = {
     "sharing", "sidebar", "sitemap", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
 _MARKS_OUTSIDE_ARTICLE = {"header"}
+# Parts of such names that say where or how; any other part makes it a name of something else.
+_PLACES = {
+    "area", "bar", "block", "bottom", "box", "buttons", "col", "column", "container", "content", "form", "global",
+    "group", "home", "icons", "inner", "item", "items", "left", "links", "list", "main", "media", "outer", "page",
+    "panel", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "sticky", "text", "thread",
+    "title", "top", "unit", "wrap", "wrapper",
+}
 # First parts of names that say what something has or hasn't, not what it is.
 _ABOUT = {"has", "is", "no", "not", "with", "without"}
 # Marks that count on an article element itself.
@@ -81,14 +89,14 @@ def _marked(name: str, attributes: str, in_article: bool) -> bool:
             if re.search(r"display\s*:\s*none", value):
                 return True
         elif name not in ("body", "html") and key in ("class", "id", "role"):
-            words = set()
-            for entry in value.split():
-                parts = _PART.split(entry)
-                if parts[0] not in _ABOUT:
-                    words.update(parts)
             marks = _READERS if name in _CONTENT else _MARKS
-            if words & marks or (not in_article and name not in _CONTENT and words & _MARKS_OUTSIDE_ARTICLE):
-                return True
+            if not in_article and name not in _CONTENT:
+                marks = marks | _MARKS_OUTSIDE_ARTICLE
+            for entry in value.split():
+                parts = [x for x in _PART.split(entry) if x]
+                rest = {x for x in parts if x not in marks and not x.isdigit()}
+                if len(rest) < len(set(parts)) and parts[0] not in _ABOUT and rest <= _PLACES | _MARKS:
+                    return True
     return False
 
 
@@ -295,25 +303,28 @@ def _common_start(a: Column, b: Column) -> Column:
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
-    """Main text of web pages (page_id, url, html): page_id, url, text, a row for each row.
-
-    The library's own records have no pages, so this is for any table of them.
-    A page alone on its host has no partner and is judged by its markup alone,
-    as is one with a null url among pages with the same empty host. A null or
-    empty page has an empty text. Repeated rows are each other's partners and
-    give equal results. Line fingerprints have 64 bits. Only the fingerprints of
-    lines are put in order by address; the texts themselves move once, packed.
+    """Main text of web pages (page_id, url, html): page_id, url, text and what decided it, a row for each row.
+
+    ``lines`` counts a page's lines, ``shared`` those that alignment proposes to
+    delete, ``restored`` those of them that stay since they stand in an article,
+    ``marked`` those that only the markup deletes. The library's own records have
+    no pages, so this is for any table of them. Pages of a host with all the same
+    lines (copies, other queries of one path) are one page, that of the smallest
+    address, so that none deletes the other's text. A page without another one on
+    its host has no partner and is judged by its markup alone. A null or empty page
+    has an empty text; repeated rows get equal results. Line fingerprints have 64
+    bits. Only the fingerprints of lines are put in order by address; the texts
+    themselves move once, packed.
     """
-    parsed = _parsed(pages)
-    row_key = F.xxhash64("page_id", "url", "key", F.size("hashes"))
-    small = parsed.select(
-        row_key.alias("row"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "url", "hashes"
-    ).dropDuplicates(["row"])
-    ordered = small.repartitionByRange("host", "path", "url", "row").sortWithinPartitions("host", "path", "url", "row")
+    host, lines = host_of(F.col("url")), F.xxhash64("hashes", F.size("hashes"))
+    parsed = _parsed(pages).withColumn("host", host).withColumn("same", lines)
+    place = F.struct(path_of(F.col("url")).alias("path"), "url", "hashes")
+    small = parsed.groupBy("host", "same").agg(F.min(place).alias("p")).select("host", "same", "p.*")
+    ordered = small.repartitionByRange("host", "path", "url", "same").sortWithinPartitions("host", "path", "url", "same")
     ordered = ordered.withColumn("_at", F.monotonically_increasing_id())
     beside = F.struct("path", "hashes")
     met = neighbours(
-        ordered.select("row", "host", "path", "hashes", "_at"),
+        ordered.select("same", "host", "path", "hashes", "_at"),
         ["host"],
         ["_at"],
         F.shiftright("_at", 33),
@@ -322,27 +333,34 @@ def page_texts(pages: DataFrame) -> DataFrame:
     )
     first, second = _common_start(F.col("path"), F.col("before.path")), _common_start(F.col("path"), F.col("after.path"))
     nearest = F.when(F.col("after").isNull() | (first >= second), F.col("before.hashes")).otherwise(F.col("after.hashes"))
-    partner = met.select("row", F.coalesce(nearest, F.col("after.hashes")).alias("beside"), "hashes")
+    partner = met.select("host", "same", F.coalesce(nearest, F.col("after.hashes")).alias("beside"), "hashes")
 
     def align(columns):
         shared = []
         for own, other in zip(columns["hashes"].to_pylist(), columns["beside"].to_pylist(), strict=True):
             same = shared_lines(np.array(own or [], np.int64), np.array(other or [], np.int64))
             shared.append(np.flatnonzero(same).tolist())
-        return {"shared": pa.array(shared, pa.list_(pa.int32()))}
+        return {"repeated": pa.array(shared, pa.list_(pa.int32()))}
 
-    found = add_columns(partner, ["hashes", "beside"], ["row"], "shared array<int>", align)
-    rows = parsed.select("page_id", "url", row_key.alias("row"), "blob").join(found, "row", "left")
+    found = add_columns(partner, ["hashes", "beside"], ["host", "same"], "repeated array<int>", align)
+    rows = parsed.select("page_id", "url", "host", "same", "blob").join(found, ["host", "same"], "left")
 
     def write(columns):
-        texts = []
-        for blob, shared in zip(columns["blob"].to_pylist(), columns["shared"].to_pylist(), strict=True):
-            lines = zlib.decompress(blob).decode().split("\n") if blob else []
-            repeated = set(shared or [])
-            kept = [
-                x[1:] for k, x in enumerate(lines) if x and (int(x[0]) == KEEP or (int(x[0]) == UNSURE and k not in repeated))
-            ]
-            texts.append(" ".join(kept))
-        return {"text": pa.array(texts, pa.string())}
-
-    return add_columns(rows, ["blob", "shared"], ["page_id", "url"], "text string", write)
+        texts, counts = [], []
+        for blob, repeated in zip(columns["blob"].to_pylist(), columns["repeated"].to_pylist(), strict=True):
+            lines = [x for x in zlib.decompress(blob).decode().split("\n") if x] if blob else []
+            kinds = np.array([int(x[0]) for x in lines], int)
+            shared = np.zeros(len(lines), bool)
+            shared[repeated or []] = True
+            # first what alignment proposes, then what the markup has against it
+            goes = shared & (kinds != KEEP)
+            marked = ~shared & (kinds == DROP)
+            texts.append(" ".join(lines[k][1:] for k in np.flatnonzero(~goes & ~marked)))
+            counts.append((len(lines), shared.sum(), (shared & (kinds == KEEP)).sum(), marked.sum()))
+        numbers = np.array(counts, np.int64).reshape(-1, 4).T
+        return {"text": pa.array(texts, pa.string())} | {
+            name: pa.array(n) for name, n in zip(("lines", "shared", "restored", "marked"), numbers, strict=True)
+        }
+
+    adds = "text string, lines long, shared long, restored long, marked long"
+    return add_columns(rows, ["blob", "repeated"], ["page_id", "url"], adds, write)

@@ -181,6 +181,26 @@ def test_page_texts(spark):
     assert page_texts(df.limit(0)).count() == 0
 
 
+def test_names_that_only_begin_like_menus():
+    page = """<div class="related-work">Work</div><section><div class="search-results">Found</div></section><p class="no-share notice-of-intent">Intent</p>
+    <div class="site-header">x</div><div id="main-nav_2">x</div><div class="ad">x</div><div class="col ad-slot-3">x</div><ul class="comment-list">x</ul>
+    <article><p class="social-science">Science</p><div class="share-buttons">x</div><p class="header-of-file">File</p></article>"""
+    kept = [text for text, kind in text_lines(page) if kind != DROP]
+    assert kept == ["Work", "Found", "Intent", "Science", "File"]
+
+
+def test_twins_keep_their_text(spark):
+    """Pages that differ in their query alone, and copies, have another page as partner."""
+    story = page("<p>One story.</p><p>More.</p>")
+    rows = [(1, "http://t.test/n/1", story), (2, "http://t.test/n/1?utm=x", story), (3, "http://t.test/n/2", story), (4, "http://t.test/n/3", page("<p>Other</p>"))]
+    rows += [(5, "http://u.test/1", story), (6, "http://u.test/1?a", story)]
+    got = {r.page_id: r for r in page_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: r.text for k, r in got.items()} == {1: "One story. More.", 2: "One story. More.", 3: "One story. More.", 4: "Other"} | dict.fromkeys(
+        (5, 6), "Menu of the site Latest offers One story. More. About us"
+    )
+    assert [(got[k].lines, got[k].shared, got[k].restored, got[k].marked) for k in (1, 4, 5)] == [(5, 3, 0, 0), (4, 3, 0, 0), (5, 0, 0, 0)]
+
+
 # --- addresses ----------------------------------------------------------------
 
 
