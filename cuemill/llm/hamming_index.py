@@ -11,12 +11,14 @@ their inner products in double precision. How large r must be is measured: a few
 queries are compared with every row, and r reaches as far as their true
 neighbours' codes lie, however many rows there are.
 
-Rows lie in blocks of bounded size, each with its own tables; a block of queries
-meets every block of rows.
+Rows lie in blocks of bounded size. A block's tables are made once, in the task
+that has its rows, and all queries, far fewer than the rows, pass by them in
+batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from cuemill.llm.sampling import bounded, draw
 
 _WORD = 12  # bits of a substring
-# Rows and queries in a block.
-ROWS, QUERIES = 16_384, 512
+# Rows of a block: at most, and at least where there are fewer blocks than cores.
+ROWS, FEWEST = 16_384, 4_096
 # Queries that are compared with every row to measure how far codes of true neighbours lie.
 MEASURED = 128
 
@@ -259,60 +261,60 @@ def nearest_vectors(
     some = asked.withColumnRenamed("vec_id", "media_id")
     some = some if n_asked <= MEASURED else draw(some, F.lit(MEASURED / n_asked))
     total, reach = _measure(rows, some.select(F.col("media_id").alias("vec_id"), "embedding").toArrow(), model, k, recall)
-    row_blocks, query_blocks = max(1, -(-total // ROWS)), max(1, -(-n_asked // QUERIES))
+    per_core = -(-total // (2 * vectors.sparkSession.sparkContext.defaultParallelism))
+    blocks = max(1, -(-total // min(ROWS, max(FEWEST, per_core))))
     shared = vectors.sparkSession.sparkContext.broadcast(model)
 
-    def block(n: int):
-        return F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(n)).cast("int")
+    block = F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    held = rows.select(block.alias("block"), F.lit(False).alias("asks"), "vec_id", "embedding")
+    passing = asked.select(every.alias("block"), F.lit(True).alias("asks"), "vec_id", "embedding")
 
-    def spread(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = rows.select(block(row_blocks).alias("r"), spread(query_blocks).alias("q"), "vec_id", "embedding")
-    right = asked.select(
-        spread(row_blocks).alias("r_"),
-        block(query_blocks).alias("q_"),
-        F.col("vec_id").alias("query_id"),
-        F.col("embedding").alias("query"),
-    )
-
-    def search(stored: pa.Table, wished: pa.Table) -> pa.Table:
+    def answers(index: MultiIndex, ids: np.ndarray, x: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
+        """What the queries of a batch find in a block."""
         m = shared.value
+        query_ids, y = part.column(2).to_numpy(), _matrix(pa.chunked_array([part.column(3)]), m.dim)
+        codes = m.codes(y, False)
         found: list[tuple[np.ndarray, ...]] = []
-        if stored.num_rows and wished.num_rows:
-            by = stored.sort_by([("vec_id", "ascending")])
-            ids, x = by.column("vec_id").to_numpy(), _matrix(by.column("embedding"), m.dim)
-            query_ids, y = wished.column("query_id").to_numpy(), _matrix(wished.column("query"), m.dim)
-            index = MultiIndex(m.codes(x, True))
-            codes = m.codes(y, False)
-            for i, radius in enumerate(_radii(codes, m, total, wanted, reach)):
-                near, step = index.within(codes[i], int(radius)), 1
+        for i, radius in enumerate(_radii(codes, m, total, wanted, reach)):
+            near, step = index.within(codes[i], int(radius)), 1
+            near = near[ids[near] != query_ids[i]]
+            while len(near) < k and radius < 8 * codes.shape[1]:
+                radius, step = radius + step, 2 * step
+                near = index.within(codes[i], int(radius))
                 near = near[ids[near] != query_ids[i]]
-                while len(near) < k and radius < 8 * codes.shape[1]:
-                    radius, step = radius + step, 2 * step
-                    near = index.within(codes[i], int(radius))
-                    near = near[ids[near] != query_ids[i]]
-                if step > 1 and len(near) > k:
-                    # the smallest radius that gives k
-                    apart = np.bitwise_count(index.codes[near] ^ codes[i]).sum(axis=1)
-                    near = near[apart <= np.partition(apart, k - 1)[k - 1]]
-                score = (x[near] * y[i]).sum(axis=1)
-                best = np.lexsort((ids[near], -score))[:k]
-                found.append((np.full(len(best), query_ids[i]), ids[near][best], score[best]))
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0)] * 3
-        return pa.table(
-            {
-                "query_id": pa.array(columns[0].astype(np.int64)),
-                "vec_id": pa.array(columns[1].astype(np.int64)),
-                "score": pa.array(columns[2].astype(float)),
-            }
-        )
-
-    found = (
-        left.groupBy("r", "q")
-        .cogroup(right.groupBy("r_", "q_"))
-        .applyInArrow(search, "query_id long, vec_id long, score double")
-    )
+            if step > 1 and len(near) > k:
+                # the smallest radius that gives k
+                apart = np.bitwise_count(index.codes[near] ^ codes[i]).sum(axis=1)
+                near = near[apart <= np.partition(apart, k - 1)[k - 1]]
+            score = (x[near] * y[i]).sum(axis=1)
+            best = np.lexsort((ids[near], -score))[:k]
+            found.append((np.full(len(best), query_ids[i]), ids[near][best], score[best]))
+        query, near, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(query), pa.array(near), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a block come before the queries that pass by it."""
+        number, stored, index = None, [], None
+        for batch in batches:
+            at, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((np.diff(at) != 0) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                part = batch.slice(a, b - a)
+                if at[a] != number:
+                    number, stored, index = at[a], [], None
+                if not asks[a]:
+                    stored.append(part)
+                    continue
+                if index is None and stored:
+                    whole = pa.Table.from_batches(stored)
+                    ids, x = whole.column(2).to_numpy(), _matrix(whole.column(3), shared.value.dim)
+                    index, stored = MultiIndex(shared.value.codes(x, True)), []
+                if index is not None:
+                    yield answers(index, ids, x, part)
+
+    met = held.union(passing).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "asks", "vec_id")
+    found = met.mapInArrow(search, "query_id long, vec_id long, score double")
     # as many rows per query as there are blocks, k each
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

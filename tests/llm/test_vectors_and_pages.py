@@ -41,7 +41,6 @@ def exact(rows, queries, k):
 @pytest.mark.parametrize("block", [50, 10_000])
 def test_nearest_vectors(spark, monkeypatch, block):
     monkeypatch.setattr(hamming_index, "ROWS", block)
-    monkeypatch.setattr(hamming_index, "QUERIES", block // 5)
     rng = np.random.default_rng(1)
     # different lengths, and a vector that a third of the rows share
     vectors = (rng.normal(size=(300, 16)) * rng.uniform(0.2, 3, (300, 1))).astype(np.float32)
