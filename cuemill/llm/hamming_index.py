@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from cuemill.llm.sampling import bounded, draw
 
 _WORD = 12  # bits of a substring
-# Rows of a block: at most, and at least where there are fewer blocks than cores.
-ROWS, FEWEST = 16_384, 4_096
+# Rows of a block.
+ROWS = 16_384
 # Queries that are compared with every row to measure how far codes of true neighbours lie.
 MEASURED = 128
 
@@ -243,8 +243,8 @@ def nearest_vectors(
     uncommon length or with a null or non-finite component take no part.
     ``wanted`` codes at least are to lie within a query's radius, and ``recall``
     of the true neighbours of a sample of the queries, which are compared with
-    all rows. A radius grows until a block has given k, so every query has k
-    rows or all there are. Nearest come
+    all rows. A radius grows until a block has given its share of k, so every query has
+    k rows or all there are. Nearest come
     first, ties in order of vec_id. Rows with equal ids and vectors are one row.
     Of equal vectors only the k + 1 smallest ids can be among the results, so
     the others are left out before blocks are made.
@@ -261,8 +261,9 @@ def nearest_vectors(
     some = asked.withColumnRenamed("vec_id", "media_id")
     some = some if n_asked <= MEASURED else draw(some, F.lit(MEASURED / n_asked))
     total, reach = _measure(rows, some.select(F.col("media_id").alias("vec_id"), "embedding").toArrow(), model, k, recall)
-    per_core = -(-total // (2 * vectors.sparkSession.sparkContext.defaultParallelism))
-    blocks = max(1, -(-total // min(ROWS, max(FEWEST, per_core))))
+    blocks = max(1, -(-total // ROWS))
+    # what every block gives to each query, so that all give k together
+    least = -(-k // blocks)
     shared = vectors.sparkSession.sparkContext.broadcast(model)
 
     block = F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(blocks)).cast("int")
@@ -279,14 +280,14 @@ def nearest_vectors(
         for i, radius in enumerate(_radii(codes, m, total, wanted, reach)):
             near, step = index.within(codes[i], int(radius)), 1
             near = near[ids[near] != query_ids[i]]
-            while len(near) < k and radius < 8 * codes.shape[1]:
+            while len(near) < least and radius < 8 * codes.shape[1]:
                 radius, step = radius + step, 2 * step
                 near = index.within(codes[i], int(radius))
                 near = near[ids[near] != query_ids[i]]
-            if step > 1 and len(near) > k:
-                # the smallest radius that gives k
+            if step > 1 and len(near) > least:
+                # the smallest radius that gives as many
                 apart = np.bitwise_count(index.codes[near] ^ codes[i]).sum(axis=1)
-                near = near[apart <= np.partition(apart, k - 1)[k - 1]]
+                near = near[apart <= np.partition(apart, least - 1)[least - 1]]
             score = (x[near] * y[i]).sum(axis=1)
             best = np.lexsort((ids[near], -score))[:k]
             found.append((np.full(len(best), query_ids[i]), ids[near][best], score[best]))
