@@ -336,3 +336,112 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
     bases = sizes.select(*keys, "_block", F.coalesce(F.sum("count").over(earlier), F.lit(0).cast("long")).alias("_base"))
     rank = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order))
     return rows.join(bases, [*keys, "_block"]).withColumn(name, F.col("_base") + rank - 1).select(*df.columns, name)
+
+
+def pairs(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    block: Column,
+    looks_at: Sequence[str],
+    joins: Callable[[Column, Column], Column],
+    follows: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
+    """Put rows together with the next one of their key where joins(row, next) holds, from each key's first row on.
+
+    The test reads given rows only, so in a run of rows that could each join the
+    next one every second row, from the first on, does. What a row is follows from
+    the number of such rows just before it; blocks count their own and hand the
+    count on, one row per block.
+
+    Returns the columns of a pair's first or of a lone row, ``_other`` (the second
+    row, or null) and ``_after`` (whether a row comes next). With ``follows`` a lone
+    row belongs to the group before it where follows(row before, row) holds, and
+    ``_group`` holds the order columns of the first row of the group.
+    A test that gives null does not hold.
+    """
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    # None where no row depends on the one before
+    follows = follows or (lambda before, row: F.lit(False))
+    holds = lambda test: F.coalesce(test, F.lit(False))
+    row, at = F.struct(*looks_at), F.struct(*order)
+
+    def opens(odd, can, before, row):
+        """Whether a row that stands after an odd number of possible pairs or not starts a group."""
+        return ~odd & (can | ~holds(follows(before, row)))
+
+    rows = df.withColumn("_block", block)
+    rows = (
+        rows.withColumn("_n", F.row_number().over(inside).cast("long"))
+        .withColumn("_next", F.lead(F.struct(*df.columns)).over(inside))
+        .withColumn("_prev", F.lag(row).over(inside))
+        .withColumn("_can", holds(joins(row, F.col("_next"))))
+        .withColumn("_since", F.max(F.when(~F.col("_can"), F.col("_n"))).over(earlier))
+        .withColumn("_run", F.col("_n") - F.coalesce("_since", F.lit(0)) - 1)
+        .withColumn("_free", F.col("_since").isNull())
+    )
+
+    # first and last row of a block wait for their neighbours; the others open a group or not by the parity handed on
+    between = F.col("_prev").isNotNull() & F.col("_next").isNotNull()
+    mid = {}
+    for e in (0, 1):
+        odd = (F.col("_run") + F.when(F.col("_free"), e).otherwise(0)) % 2 == 1
+        mid[f"_mid{e}"] = F.max(F.when(between & opens(odd, F.col("_can"), F.col("_prev"), row), at))
+    ends = F.struct(row.alias("row"), at.alias("at"), F.col("_can").alias("can"), F.col("_prev").alias("prev"), "_run", "_free")
+    blocks = rows.groupBy(*keys, "_block").agg(
+        F.count("*").alias("_rows"),
+        F.min_by(F.struct(*df.columns), "_n").alias("_head"),
+        F.min_by(ends, "_n").alias("_first"),
+        F.max_by(ends, "_n").alias("_last"),
+        *[column.alias(name) for name, column in mid.items()],
+    )
+    along = Window.partitionBy(*keys).orderBy("_block")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    single = F.col("_rows") == 1
+    handed = F.when(F.col("_last_can"), F.col("_last._run") + 1).otherwise(0)
+    blocks = (
+        blocks.withColumn("_head_next", F.lead("_head").over(along))
+        .withColumn("_tail_prev", F.lag("_last.row").over(along))
+        .withColumn("_last_can", holds(joins(F.col("_last.row"), F.col("_head_next"))))
+        .withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        # position of the last row that cannot join the next one
+        .withColumn(
+            "_stop",
+            F.when(~(F.col("_last._free") & F.col("_last_can")), F.col("_base") + F.col("_rows") - handed),
+        )
+        .withColumn("_carry", F.col("_base") - F.coalesce(F.max("_stop").over(before), F.lit(0)))
+    )
+    odd_first = F.col("_carry") % 2 == 1
+    odd_last = (F.col("_last._run") + F.when(F.col("_last._free"), F.col("_carry")).otherwise(0)) % 2 == 1
+    first_can = F.when(single, F.col("_last_can")).otherwise(F.col("_first.can"))
+    last_prev = F.when(single, F.col("_tail_prev")).otherwise(F.col("_last.prev"))
+    opened = F.coalesce(
+        F.when(opens(odd_last, F.col("_last_can"), last_prev, F.col("_last.row")), F.col("_last.at")),
+        F.when(odd_first, F.col("_mid1")).otherwise(F.col("_mid0")),
+        F.when(opens(odd_first, first_can, F.col("_tail_prev"), F.col("_first.row")), F.col("_first.at")),
+    )
+    handed_on = blocks.withColumn("_opened", opened).select(
+        *keys, "_block", "_head_next", "_tail_prev", "_carry", F.max("_opened").over(before).alias("_open_before")
+    )
+
+    rows = (
+        rows.join(handed_on, [*keys, "_block"])
+        .withColumn("_next", F.coalesce("_next", "_head_next"))
+        .withColumn("_prev", F.coalesce("_prev", "_tail_prev"))
+        .withColumn("_can", holds(joins(row, F.col("_next"))))
+        .withColumn("_odd", (F.col("_run") + F.when(F.col("_free"), F.col("_carry")).otherwise(0)) % 2 == 1)
+        .withColumn("_opens", opens(F.col("_odd"), F.col("_can"), F.col("_prev"), row))
+        .withColumn(
+            "_group",
+            F.coalesce(
+                F.max(F.when(F.col("_opens"), at)).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_open_before"
+            ),
+        )
+    )
+    return rows.filter(~F.col("_odd")).select(
+        *df.columns,
+        F.when(F.col("_can"), F.col("_next")).alias("_other"),
+        F.col("_next").isNotNull().alias("_after"),
+        "_group",
+    )

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cuemill.operators.ordered import block_of, chain, islands, neighbours, number_rows
+from cuemill.operators.ordered import block_of, chain, islands, neighbours, number_rows, pairs
 
 
 @pytest.fixture(scope="module")
@@ -84,3 +84,25 @@ def test_number_rows(spark, data, size):
     out = number_rows(df, ["k"], ["i"], block_of("i", size), "n").collect()
     expected = {(k, i): n for k, rows in by_key(data).items() for n, (i, _) in enumerate(rows)}
     assert {(r.k, r.i): r.n for r in out} == expected
+
+
+@pytest.mark.parametrize("size", BLOCKS)
+@pytest.mark.parametrize("least", [2, 5])
+def test_pairs(spark, data, size, least):
+    df = spark.createDataFrame(data, "k long, i long, v long")
+    out = pairs(
+        df, ["k"], ["i"], block_of("i", size), ["v"],
+        lambda a, b: (a["v"] >= least) & (b["v"] >= least),
+        lambda before, row: row["v"] <= before["v"],
+    )
+    expected = []
+    for k, rows in by_key(data).items():
+        x, group = 0, None
+        while x < len(rows):
+            both = x + 1 < len(rows) and rows[x][1] >= least and rows[x + 1][1] >= least
+            if both or x == 0 or rows[x][1] > rows[x - 1][1]:
+                group = rows[x][0]
+            expected.append((k, rows[x][0], rows[x + 1][0] if both else None, x + 1 < len(rows), group))
+            x += 2 if both else 1
+    got = [(r.k, r.i, r["_other"] and r["_other"].i, r["_after"], r["_group"].i) for r in out.collect()]
+    assert sorted(got) == sorted(expected)
