@@ -1,13 +1,20 @@
 """Caption and recogniser files, whole jobs."""
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuemill import fixtures as fx
 from cuemill.catalog import query
 from cuemill.operators.language import language_profiles
+from cuemill.operators.timeline import assemble_text
 from cuemill.plans.captions import caption_cues, place_segments
 from cuemill.plans.translation import translate_captions
+from cuemill.session import shared_folder
 from cuemill.sources import captions, transcripts
+from cuemill.sources.files import file_stems
 
 
 @query("""
@@ -152,6 +159,86 @@ def retexted_vtt(spark, sf):
     return captions.retext(_files(spark, sf, "vtt"), _new_texts(spark, sf), "vtt").withColumn("cue_idx", F.col("cue_idx").cast("int"))
 
 
+def _new_folder(spark):
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+def _name(file):
+    return F.regexp_extract(file, "([^/]*)$", 1)
+
+
+def _stems(spark, sf):
+    paths = F.concat(F.lit("/lib/"), F.col("media_id") % 3, F.lit("/talk "), F.expr("media_id div 2"), F.lit(".part.mp4"))
+    return file_stems(fx.media(spark, sf).select("media_id", paths.alias("path")))
+
+
+# two items share a name, but for one whose partner has no words
+_STEM_SQL = """
+  stems as (
+    select media_id, 'talk ' || (media_id // 2) || '.part' || case when count(*) over (partition by media_id // 2) > 1
+           then '_' || media_id else '' end as stem
+    from (select distinct media_id from words)
+  )
+"""
+
+
+@query(f"""
+  with {_STEM_SQL}
+  select f.format, stem || '_subtitle.' || f.format as file, cast(seq as integer) as cue_idx, word || chr(10) || word as text,
+         case when f.format in ('ass', 'ssa') then start_ms // 10 * 10 else start_ms end as start_ms,
+         case when f.format in ('ass', 'ssa') then end_ms // 10 * 10 else end_ms end as end_ms
+  from words join stems using (media_id), (values ('srt'), ('vtt'), ('ass'), ('ssa')) as f(format)
+""")
+def written_captions(spark, sf):
+    """Caption files of all formats, written under the names of their media and read back."""
+    folder = _new_folder(spark)
+    captions.write_captions(_cues(spark, sf), folder, captions.FORMATS, _stems(spark, sf))
+    read = [captions.read_captions(spark, folder, f).withColumn("format", F.lit(f)) for f in captions.FORMATS]
+    rows = reduce(DataFrame.unionByName, read)
+    return rows.select("format", _name("file").alias("file"), "cue_idx", "text", "start_ms", "end_ms")
+
+
+@query(f"""
+  with {_STEM_SQL}
+  select stem || '_transcript.txt' as file, string_agg(text, ' ' order by seg_idx) as text
+  from segs join stems using (media_id) group by stem
+""")
+def written_transcripts(spark, sf):
+    folder = _new_folder(spark)
+    transcripts.write_transcripts(assemble_text(fx.segments(spark, sf)), folder, _stems(spark, sf))
+    return transcripts.read_transcripts(spark, folder).select(_name("file").alias("file"), "text")
+
+
+def _recognised(spark, sf):
+    """Recogniser output as JSON lines: some cut off, some without a time, some that end before they start."""
+    rows = fx.segments(spark, sf).drop("language").withColumn("kind", (F.col("media_id") + F.col("seg_idx")) % 11)
+    end = F.when(F.col("kind") == 1, None).when(F.col("kind") == 2, F.col("start_ms") - 1).otherwise(F.col("end_ms"))
+    line = F.to_json(F.struct("media_id", "seg_idx", "start_ms", end.alias("end_ms"), "text", "words"))
+    cut_off = F.when(F.col("kind") == 0, F.left(line, F.length(line) - 5)).otherwise(line)
+    folder = _new_folder(spark)
+    rows.select(cut_off.alias("value")).write.text(folder)
+    return folder
+
+
+@query("""
+  select media_id, cast(seg_idx as integer) as seg_idx, start_ms, end_ms, text, cast(n_words as bigint) as n_words
+  from segs where (media_id + seg_idx) % 11 > 2
+""")
+def read_segments(spark, sf):
+    rows = transcripts.read_segments(spark, _recognised(spark, sf))
+    return rows.select("media_id", "seg_idx", "start_ms", "end_ms", "text", F.size("words").cast("long").alias("n_words"))
+
+
+@query("""
+  select case (media_id + seg_idx) % 11 when 0 then 'unreadable' when 1 then 'incomplete' else 'reversed' end as reason,
+         count(*) as lines
+  from segs where (media_id + seg_idx) % 11 <= 2 group by 1
+""")
+def damaged_segments(spark, sf):
+    rows = transcripts.damaged_segments(spark, _recognised(spark, sf))
+    return rows.groupBy("reason").agg(F.count("*").alias("lines"))
+
+
 @query(r"""
   select page_id, regexp_replace(path, '\.[^./]*$', '') || '_subtitle.vtt' as captions,
          regexp_replace(path, '\.[^./]*$', '') || '_transcript.txt' as transcript

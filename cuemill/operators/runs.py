@@ -69,11 +69,16 @@ def eta(run_log: DataFrame, now_ms: int | Column) -> DataFrame:
 
 
 def stage_timings(runs: DataFrame, stages: list[str]) -> DataFrame:
-    """Mean, longest and median time of every stage of the runs."""
+    """Mean, longest and median time of every stage of the runs.
+
+    The median is a time that occurred, of a rank at most one in 10,000 of the runs
+    from the middle one; it comes from summaries of bounded size.
+    """
     pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(f"timings.{s}").alias("s")) for s in stages]))
     rows = runs.select(pairs.alias("t")).select("t.*")
     return rows.groupBy("stage").agg(
-        F.count("s").alias("runs"), F.avg("s").alias("mean_s"), F.max("s").alias("max_s"), F.median("s").alias("median_s")
+        F.count("s").alias("runs"), F.avg("s").alias("mean_s"), F.max("s").alias("max_s"),
+        F.approx_percentile("s", 0.5, 10_000).alias("median_s"),
     )
 
 
