@@ -1,11 +1,14 @@
 """Streams over the event table, run until all rows are processed."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cuemill import fixtures as fx
 from cuemill.catalog import query
 from cuemill.catalog.caption_queries import flagged
-from cuemill.session import epoch_ms
+from cuemill.catalog.region_queries import _MERGED
+from cuemill.session import epoch_ms, shared_folder
 from cuemill.streaming import live
 from cuemill.streaming.run import run_available
 
@@ -36,20 +39,22 @@ def live_run_status(spark, sf):
     )
 
 
-@query("""
-  with r as (select user_id as media_id, epoch_us(ts) // 1000 as start_ms, epoch_us(ts) // 1000 + 60000 as end_ms from events)
-  select media_id, min(start_ms) as start_ms, max(end_ms) as end_ms
-  from (select *, sum(opens) over (partition by media_id order by start_ms) as grp
-        from (select *, case when start_ms - lag(end_ms) over (partition by media_id order by start_ms) <= 3600000
-                             then 0 else 1 end as opens from r))
-  group by media_id, grp
-""")
+# A time after all others; regions are closed once the watermark has passed them.
+_END_MS = 4_102_444_800_000
+
+
+@query(_MERGED.format(gap=3_600_000, source="regions"))
 def live_region_merge(spark, sf):
+    """Regions of the event stream; a last region of an item of its own moves the watermark past all others."""
     start = epoch_ms(F.col("ts"))
     regions = _stream(spark, sf, "events").select(
-        F.col("user_id").alias("media_id"), start.alias("start_ms"), (start + 60_000).alias("end_ms")
+        F.col("user_id").alias("media_id"), start.alias("start_ms"), (start + F.floor(F.col("value") * 1000)).alias("end_ms")
     )
-    return run_available(live.merge_regions(regions, 3_600_000), "complete")
+    folder = f"{shared_folder(spark)}/end-{uuid.uuid4().hex}"
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("media_id"), *[F.lit(_END_MS).alias(c) for c in ("start_ms", "end_ms")])
+    end.write.parquet(folder)
+    both = regions.unionByName(spark.readStream.schema(end.schema).parquet(folder))
+    return run_available(live.merge_regions(both, 3_600_000))
 
 
 @query("select distinct 'm' || (event_id % 997) as path from events")
