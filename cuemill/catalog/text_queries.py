@@ -7,6 +7,7 @@ from cuemill.catalog import query
 from cuemill.functions import cleaning, lexicon
 from cuemill.functions.repetition import collapse_repetitions
 from cuemill.functions.text import comparison_key, token_count, tokens
+from cuemill.operators import cues
 from cuemill.operators.language import carry_language, detect_language, language_profiles
 from cuemill.operators.overlap import find_overlaps, merge_chunk_texts, overlap_stats
 from cuemill.plans.transcript import clean_transcripts, transcript_paragraphs, transcripts_from_chunks
@@ -33,8 +34,8 @@ _ECHO = """
 """
 
 
-@query(f"""
-  with {_ECHO},
+# runs of repeated words and phrases that are shortened
+_TAKEN = """
   k as (
     select media_id, seg_idx, pos, w, trim(lower(w), '.,!?;:¡¿') as key, count(*) over (partition by media_id, seg_idx) as n
     from (select media_id, seg_idx, unnest(string_split(text, ' ')) as w,
@@ -67,7 +68,12 @@ _ECHO = """
     select r.media_id, r.seg_idx, r.rank, r.pos, r.p, r.times, r.pos >= t.free,
            case when r.pos >= t.free then r.pos + r.p * r.times else t.free end
     from taken t join ranked r on r.media_id = t.media_id and r.seg_idx = t.seg_idx and r.rank = t.rank + 1
-  ), removed as (
+  )
+"""
+
+
+@query(f"""
+  with {_ECHO}, {_TAKEN}, removed as (
     select media_id, seg_idx, unnest(range(pos + p * (case when p = 1 then 3 else 2 end), pos + p * times)) as pos
     from taken where used
   )
@@ -75,10 +81,41 @@ _ECHO = """
   from k left join removed r using (media_id, seg_idx, pos) where r.pos is null group by 1, 2
 """, recursive=True)
 def collapsed_repetitions(spark, sf):
+    rows = _echoed(spark, sf)
+    return rows.select("media_id", "seg_idx", collapse_repetitions(F.col("text")).alias("text"))
+
+
+def _echoed(spark, sf):
     head = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
     echo = F.concat("text", *[F.lit(" "), head] * 3)
-    rows = _texts(spark, sf).withColumn("text", echo)
-    return rows.select("media_id", "seg_idx", collapse_repetitions(F.col("text")).alias("text"))
+    return _texts(spark, sf).withColumn("text", echo)
+
+
+_RUNS = f"""
+  with {_ECHO}, {_TAKEN}, found as (
+    select media_id, seg_idx, pos, p, times, p * (times - case when p = 1 then 3 else 2 end) as dropped from taken where used
+  )
+"""
+
+
+@query(f"""
+  {_RUNS}
+  select media_id, cast(seg_idx as integer) as seg_idx, cast(pos as integer) as from_word, cast(p as integer) as phrase_words,
+         cast(times as integer) as copies, cast(dropped as integer) as dropped_words
+  from found
+""", recursive=True)
+def repetition_runs(spark, sf):
+    return cues.repetition_runs(_echoed(spark, sf), ["seg_idx"])
+
+
+@query(f"""
+  {_RUNS}
+  select media_id, count(*) as runs, count(*) filter (where p = 1) as word_runs, count(*) filter (where p > 1) as phrase_runs,
+         cast(max(times) as integer) as most_copies, cast(sum(dropped) as bigint) as dropped_words
+  from found group by 1
+""", recursive=True)
+def collapse_report(spark, sf):
+    return cues.collapse_report(_echoed(spark, sf))
 
 
 @query(_sql(r"regexp_replace(lower(text), '[^\p{L}\p{N}_ ]', '', 'g')"))

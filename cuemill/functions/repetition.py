@@ -61,15 +61,63 @@ def collapse_repetitions(text: Column, word_limit: int = 3, phrase_limit: int =
     pattern, kept = _run_pattern(word_limit, phrase_limit, longest=5)
 
     def collapse(words):
-        coded = F.concat(
-            F.array_join(F.transform(words, lambda w: F.concat(run_key(w), F.lit(MARK), w)), " "), F.lit(" ")
-        )
-        shorter = F.regexp_replace(coded, pattern, kept)
+        shorter = F.regexp_replace(_coded(words), pattern, kept)
         return F.rtrim(F.regexp_replace(shorter, f"(?<![^ ])[^ {MARK}]*{MARK}", ""))
 
     return F.when(token_count(text) < 4, text).otherwise(let(tokens(text), collapse))
 
 
+def _coded(words: Column) -> Column:
+    return F.concat(
+        F.array_join(F.transform(words, lambda w: F.concat(run_key(w), F.lit(MARK), w)), " "), F.lit(" ")
+    )
+
+
+def repetition_runs(text: Column, word_limit: int = 3, phrase_limit: int = 2) -> Column:
+    """The runs that collapse_repetitions shortens: structs (from_word, phrase_words, copies, dropped_words), in order.
+
+    Words count from 0; a null or short text has none.
+    """
+    pattern, kept = _run_pattern(word_limit, phrase_limit, longest=5)
+
+    def size(coded):
+        return F.length(coded) - F.length(F.replace(coded, F.lit(MARK), F.lit("")))
+
+    def measured(run):
+        def parts(rest):
+            first = F.regexp_replace(rest, f"{MARK}[^ ]* ", " ")
+            one_word = F.size(F.array_distinct(F.split(F.rtrim(first), " "))) == 1
+            n, stays = size(run), size(rest)
+            phrase = F.when(one_word, 1).otherwise(F.floor(stays / phrase_limit)).cast("int")
+            return F.struct(n.alias("n"), phrase.alias("phrase"), (n - stays).alias("dropped"))
+
+        return let(F.regexp_replace(run, pattern, kept), parts)
+
+    def step(acc, x):
+        at = acc["at"] + x["before"]
+        run = F.struct(
+            at.alias("from_word"),
+            x["run"]["phrase"].alias("phrase_words"),
+            F.floor(x["run"]["n"] / x["run"]["phrase"]).cast("int").alias("copies"),
+            x["run"]["dropped"].alias("dropped_words"),
+        )
+        return F.struct((at + x["run"]["n"]).alias("at"), F.array_append(acc["runs"], run).alias("runs"))
+
+    def found(coded):
+        pairs = F.zip_with(
+            F.transform(F.split(coded, pattern), size),
+            F.transform(F.regexp_extract_all(coded, F.lit(pattern), 0), measured),
+            lambda before, run: F.struct(before.alias("before"), run.alias("run")),
+        )
+        # one more text between runs than runs
+        pairs = F.filter(pairs, lambda x: x["run"].isNotNull())
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("runs")), step, lambda acc: acc["runs"])
+
+    none = F.array().cast("array<struct<from_word:int,phrase_words:int,copies:int,dropped_words:int>>")
+    runs = let(tokens(text), lambda words: let(_coded(words), found))
+    return F.when(token_count(text) >= 4, runs).otherwise(none)
+
+
 def _top_two(words: Column) -> Column:
     """Occurrences of the two most frequent entries."""
     start = F.struct(

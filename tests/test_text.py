@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuemill.functions import cleaning, lexicon
 from cuemill.functions.layout import balanced_lines, middle_lines, pack_captions
-from cuemill.functions.repetition import collapse_repetitions, degenerate_rule
+from cuemill.functions.repetition import collapse_repetitions, degenerate_rule, repetition_runs
 from cuemill.plans.transcript import clean_transcripts
 
 VOCABULARY = (
@@ -70,6 +70,17 @@ def test_collapse(spark):
     assert got[0] == "go go go home now"
     assert got[1] == "left, right, up, left, right, up, stop"
     assert got == [collapsed(t) for t in some]
+    # every run is where it is said to be, and the rest of the text without it is what stays
+    for t, shorter, runs in zip(some, got, results(spark, some, repetition_runs(F.col("t")))):
+        words, gone = t.split(), set()
+        compared = keys(words)
+        for r in runs:
+            copies = [compared[r.from_word + k * r.phrase_words :][: r.phrase_words] for k in range(r.copies)]
+            assert all(c == copies[0] for c in copies) and len(copies[0]) == r.phrase_words
+            end = r.from_word + r.copies * r.phrase_words
+            gone |= set(range(end - r.dropped_words, end))
+            assert r.copies * r.phrase_words - r.dropped_words == r.phrase_words * (2 if r.phrase_words > 1 else 3)
+        assert [w for k, w in enumerate(words) if k not in gone] == shorter.split()
 
 
 def test_degenerate_cues(spark):
