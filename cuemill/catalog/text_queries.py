@@ -280,23 +280,116 @@ def _transcripts(spark, sf):
     return assemble_text(segments).join(language, "media_id")
 
 
-@query()
+# sentences of whole transcripts; cuts are followed from each transcript's first one
+_SPOKEN = r"""
+  spoken as (
+    select media_id, size, unnest(parts) as s, generate_subscripts(parts, 1) - 1 as i, len(parts) as n
+    from (select media_id, length(text) as size,
+                 string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)) as parts
+          from (select media_id, string_agg(text, ' ' order by seg_idx) as text from segs group by 1))
+  )
+"""
+
+
+def _followed(jumps, keys, at, following):
+    """CTEs that follow jumps from position 0 to the one named by each, and number the stretches between them."""
+    same = " and ".join(f"j.{k} = c.{k}" for k in keys.split(", "))
+    return f"""
+  cuts as (
+    select {keys}, {at}, {following} from {jumps} where {at} = 0
+    union all
+    select {", ".join("j." + k for k in keys.split(", "))}, j.{at}, j.{following} from cuts c join {jumps} j on {same} and j.{at} = c.{following}
+  ), stretches as (
+    select j.*, sum(case when c.{at} is null then 0 else 1 end) over (partition by {", ".join("j." + k for k in keys.split(", "))} order by j.{at}) - 1 as stretch
+    from {jumps} j left join cuts c on {same} and j.{at} = c.{at}
+  )
+"""
+
+
+@query(f"""
+  with {_SPOKEN}, sized as (
+    select *, sum(length(s)) over (partition by media_id order by i) as upto from spoken
+  ), limits as (
+    select *, upto - length(s) + 2000 as most from sized
+  ), jumps as (
+    select a.media_id, a.s, a.i, case when a.size > 2000 and b.i is not null then greatest(b.i, a.i + 1) end as following
+    from limits a asof left join sized b on a.media_id = b.media_id and a.most < b.upto
+  ), {_followed("jumps", "media_id", "i", "following")}
+  select media_id, cast(stretch as integer) as piece, string_agg(s, ' ' order by i) as text from stretches group by 1, 2
+""", recursive=True)
 def sentence_pieces(spark, sf):
     pieces = cleaning.pack_sentences(F.col("text"), 2000)
     return _transcripts(spark, sf).select("media_id", F.posexplode_outer(pieces).alias("piece", "text"))
 
 
-@query()
+# words and what stands between them; of equal words with only white space between them every second one goes
+@query(rf"""
+  with parts as (
+    select media_id, seg_idx, unnest(parts) as part, generate_subscripts(parts, 1) as i
+    from (select media_id, seg_idx, regexp_extract_all(text, '{_WORD}+|{_NOT}+') as parts from segs)
+  ), named as (
+    select *, regexp_matches(part, '^{_WORD}') as is_word, lag(part) over w as between_them, lag(part, 2) over w as before
+    from parts window w as (partition by media_id, seg_idx order by i)
+  ), runs as (
+    select *, sum(case when lower(part) = lower(before) and regexp_full_match(between_them, '\s+') then 0 else 1 end)
+                over (partition by media_id, seg_idx order by i) as run
+    from named where is_word
+  ), dropped as (
+    select media_id, seg_idx, i from (select *, row_number() over (partition by media_id, seg_idx, run order by i) as nth from runs)
+    where nth % 2 = 0
+  )
+  select p.media_id, cast(p.seg_idx as integer) as seg_idx, coalesce(string_agg(part, '' order by p.i) filter (where d.i is null), '') as text
+  from parts p left join dropped d on p.media_id = d.media_id and p.seg_idx = d.seg_idx and p.i in (d.i, d.i - 1)
+  group by 1, 2
+""")
 def doubled_words(spark, sf):
     return _staged(spark, sf, cleaning.drop_doubled_words)
 
 
-@query()
+_CONTRAST = ", ".join(f"'{w}'" for w in lexicon.CONTRAST_WORDS)
+_PRONOUN = ", ".join(f"'{w}'" for w in lexicon.PRONOUNS)
+
+
+@query(f"""
+  with placed as (
+    select media_id, seg_idx, word_idx as i, word, count(*) over (partition by media_id, seg_idx) as n,
+           case when lower(word) in ({_CONTRAST}) then word_idx end as contrast,
+           case when lower(word) in ({_CONTRAST}, {_PRONOUN}) then word_idx end as either
+    from words
+  ), jumps as (
+    select media_id, seg_idx, i, word, n,
+           coalesce(min(contrast) over (partition by media_id, seg_idx order by i rows between 9 following and 15 following),
+                    min(either) over (partition by media_id, seg_idx order by i rows between 16 following and 25 following),
+                    case when i + 26 <= n then i + 26 end) as following
+    from placed
+  ), {_followed("jumps", "media_id, seg_idx", "i", "following")},
+  said as (
+    select media_id, seg_idx, stretch, string_agg(word, ' ' order by i) as s, arg_min(word, i) as first_word,
+           arg_min(following, i) is not null as complete
+    from stretches group by 1, 2, 3
+  )
+  select media_id, cast(seg_idx as integer) as seg_idx, string_agg(case
+           when right(s, 1) in ('.', '!', '?') then s
+           when complete and lower(first_word) in ({_STARTERS}, 'had') then s || '?' else s || '.' end, ' ' order by stretch) as text
+  from said group by 1, 2
+""", recursive=True)
 def broken_sentences(spark, sf):
     return _staged(spark, sf, cleaning.break_sentences)
 
 
-@query()
+_TURN = " or ".join(f"starts_with(s, '{w}')" for w in lexicon.TRANSITIONS)
+
+
+@query(f"""
+  with {_SPOKEN}, turns as (
+    select *, case when {_TURN} then i end as turn from spoken
+  ), jumps as (
+    select media_id, i, s, coalesce(min(turn) over (partition by media_id order by i rows between 3 following and 4 following),
+                                    case when i + 5 < n then i + 5 end) as following
+    from turns
+  ), {_followed("jumps", "media_id", "i", "following")}
+  select media_id, cast(stretch as integer) as para_idx, string_agg(s, ' ' order by i) as text from stretches group by 1, 2
+""", recursive=True)
 def paragraphs(spark, sf):
     return transcript_paragraphs(_transcripts(spark, sf))
 

@@ -2,7 +2,9 @@
 
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate, pairwise
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,15 +159,16 @@ def sentence_split(text):
 
 
 def test_paragraphs(spark, texts):
+    """An end is admissible 3 or 4 sentences on before a transition, 5 on anyway; the smallest is taken."""
+
     def expected(text):
-        parts, out, now = sentence_split(text), [], []
-        for i, s in enumerate(parts):
-            now.append(s)
-            after = parts[i + 1] if i + 1 < len(parts) else ""
-            if len(now) >= 3 and (len(now) >= 5 or after.startswith(tuple(lexicon.TRANSITIONS))):
-                out.append(" ".join(now))
-                now = []
-        return out + ([" ".join(now)] if now else [])
+        parts = sentence_split(text)
+        turns = {i for i, s in enumerate(parts) if s.startswith(tuple(lexicon.TRANSITIONS))}
+        ends = [0]
+        while ends[-1] < len(parts):
+            at = ends[-1]
+            ends.append(min([at + 5, len(parts), *(turns & {at + 3, at + 4})]))
+        return [" ".join(parts[i:j]) for i, j in pairwise(ends)]
 
     assert results(spark, texts, cleaning.paragraphs(F.col("t"))) == [expected(t) for t in texts]
 
@@ -175,16 +178,19 @@ def test_paragraphs_of_one_long_sentence(spark):
     assert len(got[0]) == 1
 
 
+def stretches(sizes, most):
+    """Borders of the longest stretches whose sizes sum to at most ``most``, one at least, by their running sums."""
+    upto, borders = [0, *accumulate(sizes)], [0]
+    while borders[-1] < len(sizes):
+        at = borders[-1]
+        borders.append(max(at + 1, bisect_right(upto, upto[at] + most) - 1))
+    return list(pairwise(borders))
+
+
 def test_pack_sentences(spark, texts):
     def expected(text):
-        out, now, size = [], [], 0
-        for s in sentence_split(text):
-            if size + len(s) > 50 and now:
-                out.append(" ".join(now))
-                now, size = [], 0
-            now.append(s)
-            size += len(s)
-        return out + [" ".join(now)] if now else out
+        parts = sentence_split(text)
+        return [" ".join(parts[i:j]) for i, j in stretches([len(s) for s in parts], 50)]
 
     assert results(spark, texts, cleaning.pack_sentences(F.col("t"), 50)) == [expected(t) for t in texts]
 
@@ -197,16 +203,8 @@ def test_doubled_words(spark, texts):
 def test_caption_layout(spark, texts):
     def packed(text):
         words = text.split()
-        if len(" ".join(words)) <= 84:
-            return [" ".join(words)]
-        out, now = [], ""
-        for w in words:
-            if now and len(now) + 1 + len(w) > 84:
-                out.append(now)
-                now = w
-            else:
-                now = f"{now} {w}" if now else w
-        return [*out, now]
+        # every word with the space before it, the first one's space included in the limit
+        return [" ".join(words[i:j]) for i, j in stretches([len(w) + 1 for w in words], 85)] or [""]
 
     def balanced(t):
         words = t.split()
