@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cuemill import fixtures as fx
 from cuemill.catalog import query
 from cuemill.operators import regions as ops
+from cuemill.plans.captions import plan_regions
 
 _MERGED = """
   select media_id, min(start_ms) as start_ms, arg_max(end_ms, (start_ms, end_ms)) as end_ms
@@ -79,3 +80,18 @@ def low_confidence(spark, sf):
         ((F.col("event_id") % 101) / 100.0).alias("probability"),
     )
     return ops.flag_low_confidence(rows)
+
+
+@query(f"""
+  with merged as ({_MERGED.format(gap=3_600_000, source="regions")}),
+  longest as (
+    select media_id, start_ms as sample_start_ms, least(end_ms, start_ms + 30000) as sample_end_ms
+    from (select *, row_number() over (partition by media_id order by end_ms - start_ms desc, start_ms) as rn from merged)
+    where rn = 1
+  )
+  select media_id, row_number() over (partition by media_id order by start_ms, end_ms) - 1 as region_idx,
+         greatest(0, start_ms - 200) as start_ms, end_ms + 200 as end_ms, sample_start_ms, sample_end_ms
+  from merged join longest using (media_id)
+""")
+def region_plan(spark, sf):
+    return plan_regions(fx.regions(spark, sf), 3_600_000)

@@ -11,7 +11,7 @@ from cuemill.catalog import query
 from cuemill.operators.language import language_profiles
 from cuemill.operators.timeline import assemble_text
 from cuemill.plans.captions import caption_cues, place_segments
-from cuemill.plans.translation import translate_captions
+from cuemill.plans.translation import translate_captions, write_translations
 from cuemill.session import shared_folder
 from cuemill.sources import captions, transcripts
 from cuemill.sources.files import file_stems
@@ -265,3 +265,18 @@ def caption_job(spark, sf):
 def translation_job(spark, sf):
     spoken = fx.segments(spark, sf).filter("media_id % 5 <> 0").select("language", "text")
     return translate_captions(_files(spark, sf, "ass"), "ass", target="en", profiles=language_profiles(spoken))
+
+
+@query("""
+  select 'm' || media_id || '.en.srt' as file, cast(seq as integer) as cue_idx, start_ms, end_ms,
+         'translated: ' || word || chr(10) || word as text
+  from words
+""")
+def written_translations(spark, sf):
+    """Caption files translated, written under their new names and read back."""
+    folder = _new_folder(spark)
+    files = _files(spark, sf, "srt").withColumn("file", F.concat(F.lit("/in/"), "file", F.lit(".de.srt")))
+    memory = f"{shared_folder(spark)}/memory-{uuid.uuid4().hex}"
+    write_translations(translate_captions(files, "srt", target="en", source="de", memory=memory), folder)
+    read = captions.read_captions(spark, folder, "srt")
+    return read.select(_name("file").alias("file"), "cue_idx", "start_ms", "end_ms", "text")
